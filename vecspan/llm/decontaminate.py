@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, with_row_key
+from .storage import materialize, small, with_row_key
 from .text import terms
 
 WINDOW = 10
@@ -22,11 +22,6 @@ MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` (short) rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Store the postings of ``docs`` (doc_id, text) for the terms in ``vocabulary`` (word).
 
@@ -35,7 +30,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     have only that, at 0. Terms outside the vocabulary aren't stored, as no search can ask for them.
     """
     known = materialize(vocabulary.select("word").distinct(), "vocabulary")
-    known = _small(known.union(known.sparkSession.createDataFrame([(END,)], "word string")), MAX_BROADCAST_TERMS)
+    known = small(known.union(known.sparkSession.createDataFrame([(END,)], "word string")), MAX_BROADCAST_TERMS)
     keyed = with_row_key(docs.select("doc_id", "text"))
     tokens = keyed.select(F.col("_row").alias("row"), "doc_id", F.posexplode(F.concat(terms(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
     found = tokens.join(known, "word")
@@ -77,16 +72,16 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     parts = materialize(ranked_terms(index, phrases), "terms")
     postings = index.where(F.col("term") != _end()).select("row", "term", "pos")
 
-    rarest = _small(parts.where("rank = 1"), MAX_BROADCAST_ROWS)
+    rarest = small(parts.where("rank = 1"), MAX_BROADCAST_ROWS)
     hits = postings.join(rarest, "term").select("row", "phrase", "len", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
     for rank in (2, None):  # the second term alone thins the candidates; then all the others at once
         hits = materialize(hits, "hits")
         more = parts.where(F.col("rank") == rank if rank else F.col("rank") > 2)
         if rank:
-            lists = postings.join(_small(more.select("term").distinct(), MAX_BROADCAST_TERMS), "term", "left_semi")
+            lists = postings.join(small(more.select("term").distinct(), MAX_BROADCAST_TERMS), "term", "left_semi")
         else:
-            lists = postings.join(_small(hits.select("row").distinct(), MAX_BROADCAST_ROWS), "row", "left_semi")
-        probes = hits.join(_small(more.select("phrase", "term", "off"), MAX_BROADCAST_ROWS), "phrase")
+            lists = postings.join(small(hits.select("row").distinct(), MAX_BROADCAST_ROWS), "row", "left_semi")
+        probes = hits.join(small(more.select("phrase", "term", "off"), MAX_BROADCAST_ROWS), "phrase")
         if slop:
             at = F.explode(F.sequence(F.col("start") + F.col("off") - slop, F.col("start") + F.col("off") + slop)).alias("pos")
         else:

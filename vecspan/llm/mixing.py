@@ -69,7 +69,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_docs: int =
 
     Sizes are in tokens, and ``taken`` counts repeats. Null and empty texts have size 0 and are
     taken 0 times. A null source is a source, the last. Repeated rows are rows of their own. The order
-    in a shard is by seeded hash of doc_id, then doc_id and size; rows equal in these are alike to it.
+    in a shard is by a seeded digest of doc_id, then doc_id and size; rows equal in these are alike to it.
     No row is taken more than ``most`` times. Other columns are ignored.
     """
     sized = materialize(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")), "sizes")
@@ -91,6 +91,11 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     return keyed.join(copies, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
+def _seeded(seed: int, use: str) -> Column:
+    """Hexadecimal digits that depend on doc_id, the seed and the use."""
+    return F.md5(F.concat(F.lit(f"{seed}:{use}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def _plan(sized: DataFrame, seed: int, block: int, shard_docs: int, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     aims = targets(per, weights, share, most)
@@ -100,11 +105,11 @@ def _plan(sized: DataFrame, seed: int, block: int, shard_docs: int, weights: tup
 
     # one row per source: a plain join, for the planner to choose
     joined = sized.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
-    placed = joined.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.col("shards")))
+    placed = joined.withColumn("shard", F.conv(F.substring(_seeded(seed, "shard"), 1, 8), 16, 10).cast("long") % F.col("shards"))
     parts = placed.groupBy("source", "quota", "shard").agg(F.sum("size").alias("total"))
     shares = apportion(parts, ["source"], "total", "quota", [F.col("shard")], "blocks")
     shares = shares.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "total", "blocks")
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size")
+    seeded = Window.partitionBy("source", "shard").orderBy(_seeded(seed, "order"), "doc_id", "size")
     laid = placed.withColumn("stop", F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0)))
     both = laid.join(shares, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     start = F.col("stop") - F.col("size")

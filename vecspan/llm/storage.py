@@ -67,3 +67,8 @@ def with_row_key(docs: DataFrame, key: str = "_row", id_col: str = "doc_id") ->
         if (worst[0] or 0) <= 1 and not worst[1]:
             return docs.withColumn(key, F.col(id_col).cast("long"))
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` (short) rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
