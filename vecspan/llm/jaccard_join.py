@@ -8,9 +8,13 @@ Exact: no pair at or above the threshold is lost, whatever the order of shingles
    the document's l-prefix; two similar documents share at least l shingles of their l-prefixes.
    Each document lengthens its prefix (raises l) for as long as that lowers its estimated cost of
    postings plus candidates, and a pair is verified only when it shares min(l_a, l_b) prefix shingles.
-3. Postings are shuffled by shingle. Pairs are counted inside each partition before they are
-   shuffled, and only between classes whose sizes allow the threshold.
-4. Pairs are verified in blocks: a class's set goes once to each pair of blocks that needs it.
+3. Postings are shuffled by shingle. A posting knows the shingle before it in its prefix: where two
+   documents agree in that too, they meet there already and needn't meet again, so that near copies
+   meet a few times instead of at each shingle. Pairs become one inside each partition before they are
+   shuffled, and only sizes that allow the threshold make a pair.
+4. Pairs are verified in blocks, with classes that have the same least partner in one block (a large
+   such group in several): a class's set goes once to each pair of blocks that needs it. The prefixes
+   are compared first, and the sets only with enough matches.
 5. Components come from star contraction over classes.
 """
 
@@ -35,6 +39,7 @@ MAX_L = 8
 VERIFY_COST = 8.0  #: cost of a candidate, in postings
 COLD = 0.05  #: candidates expected of a shingle that isn't frequent
 BLOOM_BITS = 1 << 25
+BLOCK_BYTES = 4 << 20  #: of the sets of a block, about
 SEEN = 1 << 20  #: classes that a task remembers to emit each once
 
 
@@ -89,31 +94,44 @@ def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return int(ls[k]), int(lengths[k])
 
 
+def prefix_of(s: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """A set's adaptive prefix, rarest shingles first, and its l."""
+    f = freq[(s >> np.uint64(44)).astype(np.int64)]
+    if f.any():
+        order = np.argsort(f, kind="stable")
+        s, f = s[order], f[order]
+    l, length = choose_prefix(f, len(s), percent)
+    return s[:length], l
+
+
+def _frequencies(heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    freq = np.zeros(BUCKETS, np.int64)
+    freq[heavy[0]] = heavy[1]
+    return freq
+
+
 def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = np.zeros(BUCKETS, np.int64)
-        freq[heavy[0]] = heavy[1]
-        once = _Once()
-        out: list[tuple[np.ndarray, int, int, int]] = []
+        freq, once = _frequencies(heavy), _Once()
+        out: list[tuple[np.ndarray, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             sizes = [len(x[0]) for x in out]
-            h = np.concatenate([x[0] for x in out]).view(np.int64)
-            cls, n, l = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2, 3))
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls), pa.array(n * 16 + l)], ["h", "cls", "nl"])
+            h = np.concatenate([x[0] for x in out])
+            cls, n = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2))
+            before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) >> np.uint64(32)
+            before[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])] = 0  # the first has none before it
+            packed = (before << np.uint64(32) | n.astype(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(packed)], ["h", "cls", "nb"])
 
         held = 0
         for batch in batches:
             for _, s in _batch_rows(batch):
                 if not len(s) or not once.first(c := _class_of(s)):
                     continue
-                f = freq[(s >> np.uint64(44)).astype(np.int64)]
-                if f.any():
-                    order = np.argsort(f, kind="stable")
-                    s, f = s[order], f[order]
-                l, length = choose_prefix(f, len(s), percent)
-                out.append((s[:length], c, len(s), l))
-                held += length
+                prefix, _ = prefix_of(s, freq, percent)
+                out.append((prefix, c, len(s)))
+                held += len(prefix)
                 if held > 200_000:
                     yield flush()
                     out, held = [], 0
@@ -124,32 +142,30 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
 
 
 def _combine(parts: list[np.ndarray]) -> np.ndarray:
-    """Equal pairs as one, with their counts added; columns a, b, nl_a, nl_b, count."""
+    """Each pair once; columns a, b, n_a, n_b."""
     x = np.concatenate(parts)
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    new = np.flatnonzero(np.concatenate([np.ones(1, bool), (x[1:, :2] != x[:-1, :2]).any(1)]))
-    y = x[new]
-    y[:, 4] = np.add.reduceat(x[:, 4], new)
-    return y
+    return x[np.concatenate([np.ones(1, bool), (x[1:, :2] != x[:-1, :2]).any(1)])]
 
 
 def _pairs(percent: int):
-    names = ["a", "b", "nla", "nlb", "shared"]
+    names = ["a", "b", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         held = 0
 
-        def add(cls: np.ndarray, nl: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-            """Pairs i, j of rows; both classes' sizes must allow the threshold."""
+        def add(cls: np.ndarray, nb: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+            """Pairs i, j of rows that first meet here and whose sizes allow the threshold."""
             nonlocal held
-            a, b, na, nb = cls[i], cls[j], nl[i], nl[j]
-            ok = 100 * np.minimum(na >> 4, nb >> 4) >= percent * np.maximum(na >> 4, nb >> 4)
+            a, b, x, y = cls[i], cls[j], nb[i], nb[j]
+            n, m = x & 0xFFFFFFFF, y & 0xFFFFFFFF
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x >> 32 != y >> 32) | (x >> 32 == 0))
             if ok.any():
-                parts.append(np.stack([a[ok], b[ok], na[ok], nb[ok], np.ones(int(ok.sum()), np.int64)], 1))
+                parts.append(np.stack([a[ok], b[ok], n[ok], m[ok]], 1))
                 held += len(parts[-1])
 
-        def groups(h: np.ndarray, cls: np.ndarray, nl: np.ndarray) -> Iterator[None]:
+        def groups(h: np.ndarray, cls: np.ndarray, nb: np.ndarray) -> Iterator[None]:
             """Whole groups of equal h, in which cls ascends."""
             at = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
             size = np.diff(np.append(at, len(h)))
@@ -160,13 +176,13 @@ def _pairs(percent: int):
                     i, j = np.triu_indices(m, 1)
                     for k in range(0, len(starts), step):
                         base = starts[k : k + step, None]
-                        add(cls, nl, (base + i).ravel(), (base + j).ravel())
+                        add(cls, nb, (base + i).ravel(), (base + j).ravel())
                         yield
                 else:
                     for s in starts.tolist():
                         for i in range(s, s + m - 1):
                             j = np.arange(i + 1, s + m)
-                            add(cls, nl, np.full(len(j), i), j)
+                            add(cls, nb, np.full(len(j), i), j)
                             yield
 
         def emit(rest: bool) -> Iterator[pa.RecordBatch]:
@@ -175,18 +191,18 @@ def _pairs(percent: int):
                 x = _combine(parts)
                 parts, held = [x], len(x)
                 if held > 1_000_000 or rest:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(5)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names)
                     parts, held = [], 0
 
         left = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            h, cls, nl = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False)]) for old, k in zip(left, ("h", "cls", "nl")))
+            h, cls, nb = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False)]) for old, k in zip(left, ("h", "cls", "nb")))
             keep = np.concatenate([np.ones(1, bool), (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]) if len(h) else np.empty(0, bool)
-            h, cls, nl = h[keep], cls[keep], nl[keep]
+            h, cls, nb = h[keep], cls[keep], nb[keep]
             cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            left = [x[cut:] for x in (h, cls, nl)]
+            left = [x[cut:] for x in (h, cls, nb)]
             if cut:
-                for _ in groups(h[:cut], cls[:cut], nl[:cut]):
+                for _ in groups(h[:cut], cls[:cut], nb[:cut]):
                     yield from emit(False)
         if len(left[0]):
             for _ in groups(*left):
@@ -232,25 +248,35 @@ def _sets(bloom: np.ndarray):
     return run
 
 
-def _verify(percent: int):
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if not len(x) or not len(y):
+        return 0
+    if len(y) > len(x):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
+
+
+def _verify(heavy: tuple[np.ndarray, np.ndarray], percent: int):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        freq = _frequencies(heavy)
+        prefixes: dict[int, tuple[np.ndarray, int]] = {}
+
+        def prefix(c: int) -> tuple[np.ndarray, int]:
+            if c not in prefixes:
+                p, l = prefix_of(by[c], freq, percent)
+                prefixes[c] = np.sort(p), l
+            return prefixes[c]
+
         by = dict(zip(sets.column("cls").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("shingles"))))
         a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.concatenate([np.ones(1, bool), a[1:] != a[:-1]])) if len(a) else []
         good = np.zeros(len(a), bool)
-        for s, e in zip(starts, [*starts[1:], len(a)]):
-            x = by[int(a[s])]
-            for k in range(s, e):
-                y = by[int(b[k])]
-                if len(y) > len(x):
-                    at = np.searchsorted(y, x)
-                    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                else:
-                    at = np.searchsorted(x, y)
-                    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                good[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
+        for k, (c, d) in enumerate(zip(a.tolist(), b.tolist())):
+            (p, lp), (q, lq) = prefix(c), prefix(d)
+            if _common(p, q) >= min(lp, lq):
+                shared = _common(by[c], by[d])
+                good[k] = 100 * shared >= percent * (len(by[c]) + len(by[d]) - shared)
         return pa.table({"a": a[good], "b": b[good]})
 
     return run
@@ -269,10 +295,9 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     top = first.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY).collect()
     heavy = (np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64))
 
-    postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nl long")
-    pairs = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, nla long, nlb long, shared long")
-    counted = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("nla").alias("nla"), F.first("nlb").alias("nlb"))
-    candidates = materialize(counted.where("shared >= least(nla % 16, nlb % 16)").select("a", "b", F.expr("nla div 16").alias("na"), F.expr("nlb div 16").alias("nb")), "candidates")
+    postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nb long")
+    pairs = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, na long, nb long")
+    candidates = materialize(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "candidates")
 
     needed = candidates.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(candidates.select("b", "nb")).distinct()
     n_classes, n_shingles = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -283,12 +308,17 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         bloom |= np.frombuffer(row[0], np.uint8)
     sets = docs.select("text").mapInArrow(_sets(bloom), "cls long, shingles binary").dropDuplicates(["cls"])
 
-    blocks = max(4, -(-n_shingles * 8 // (4 << 20)))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = candidates.select("a", "b", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q"))
+    both = candidates.select("a", "b", F.col("na").alias("n")).union(candidates.select("b", "a", "nb"))
+    led = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("leader"), F.first("n").alias("n"))
+    groups = led.groupBy("leader").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("subs"))
+    blocks = max(4, -(-n_shingles * 8 // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("a"), F.col("subs"))), F.lit(blocks))
+    block_of = materialize(led.join(groups, "leader").select("a", block.alias("block")), "blocks")
+    keyed = candidates.select("a", "b").join(block_of.withColumnRenamed("block", "p"), "a").join(block_of.select(F.col("a").alias("b"), F.col("block").alias("q")), "b")
+    keyed = keyed.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     wanted = keyed.select("p", "q", F.col("a").alias("cls")).union(keyed.select("p", "q", "b")).distinct()
     sent = wanted.join(sets, "cls").select(F.col("p").alias("sp"), F.col("q").alias("sq"), "cls", "shingles")
-    links = keyed.groupBy("p", "q").cogroup(sent.groupBy("sp", "sq")).applyInArrow(_verify(percent), "a long, b long")
+    links = keyed.groupBy("p", "q").cogroup(sent.groupBy("sp", "sq")).applyInArrow(_verify(heavy, percent), "a long, b long")
     return members, materialize(links, "links")
 
 
