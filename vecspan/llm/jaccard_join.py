@@ -8,10 +8,11 @@ Exact: no pair at or above the threshold is lost, whatever the order of shingles
    the document's l-prefix; two similar documents share at least l shingles of their l-prefixes.
    Each document lengthens its prefix (raises l) for as long as that lowers its estimated cost of
    postings plus candidates, and a pair is verified only when it shares min(l_a, l_b) prefix shingles.
-3. Postings are shuffled by shingle. A posting knows the shingle before it in its prefix: where two
-   documents agree in that too, they meet there already and needn't meet again, so that near copies
-   meet a few times instead of at each shingle. Pairs become one inside each partition before they are
-   shuffled, and only sizes that allow the threshold make a pair.
+3. Postings are shuffled by shingle, and pairs count their matches, inside each partition before
+   they are shuffled; only sizes that allow the threshold make a pair. A match in a frequent shingle is
+   enough for a pair (frequent ones are in prefixes of little else), and is left out where the two agree
+   in a frequent shingle just before it too, so that large groups of near copies meet a few times
+   instead of at each shingle.
 4. Pairs are verified in blocks, with classes that have the same least partner in one block (a large
    such group in several): a class's set goes once to each pair of blocks that needs it. The prefixes
    are compared first, and the sets only with enough matches.
@@ -33,13 +34,16 @@ from .shingles import shingle_sets
 from .storage import materialize
 
 PERCENT = 70
-BUCKETS = 1 << 20  #: counters of the frequency sketch of one task
+SHIFT = 42
+BUCKETS = 1 << (64 - SHIFT)  #: counters of the frequency sketch, by the upper bits of a shingle
 HEAVY = 1 << 17  #: most buckets that count as frequent; bounds what is broadcast
-MAX_L = 8
+MIN_L, MAX_L = 6, 12  #: of sets that have as many needed matches
+ENOUGH = 1_000
 VERIFY_COST = 8.0  #: cost of a candidate, in postings
 COLD = 0.05  #: candidates expected of a shingle that isn't frequent
 BLOOM_BITS = 1 << 25
 BLOCK_BYTES = 4 << 20  #: of the sets of a block, about
+MAX_N = (1 << 24) - 1  #: larger sizes count as this where sizes are only compared
 SEEN = 1 << 20  #: classes that a task remembers to emit each once
 
 
@@ -65,8 +69,9 @@ class _Once(set):
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, doc_id, class, n); in the end (1, bucket, null, count) of the task's frequent buckets."""
-    counts, total, once = np.zeros(BUCKETS, np.int64), 0, _Once()
+    """Rows of (doc_id, class, n); in the end one row that has the task's sketch instead."""
+    names = ["doc_id", "cls", "n", "sketch"]
+    counts, once = np.zeros(BUCKETS, np.uint16), _Once()
     for batch in batches:
         ids, cls, n = [], [], []
         for doc_id, s in _batch_rows(batch):
@@ -75,19 +80,36 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls.append(c)
             n.append(len(s))
             if len(s) and once.first(c):
-                counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
-                total += len(s)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], ["kind", "doc_id", "cls", "n"])
-    hot = np.flatnonzero(counts > 16 + 4 * total / BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.nulls(len(hot), pa.int64()), pa.array(counts[hot])], ["kind", "doc_id", "cls", "n"])
+                # repeats of a bucket in one document count once: a sketch needn't be exact
+                at = (s >> np.uint64(SHIFT)).astype(np.int64)
+                counts[at] = np.minimum(counts[at], 65_534) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names)
+
+
+def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.uint32)
+    for batch in batches:
+        for x in batch.column("sketch"):
+            total += np.frombuffer(x.as_buffer(), np.uint16)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sketch"])
+
+
+def _heavy(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) that stand out from the even load of rare shingles; HEAVY at most."""
+    total = np.zeros(BUCKETS, np.int64)
+    for row in sketches.coalesce(2).mapInArrow(_add_sketches, "sketch binary").toLocalIterator():
+        total += np.frombuffer(row[0], np.uint32)
+    load = float(np.median(total))
+    hot = np.flatnonzero(total > load + 6 * load**0.5 + 2)
+    hot = hot[np.argsort(-total[hot], kind="stable")[:HEAVY]]
+    return hot, total[hot]
 
 
 def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     """(l, prefix length) of least estimated cost, given the frequencies of the ordered shingles."""
     need = -(-n * percent // 100)
-    ls = np.arange(1, max(1, min(MAX_L, need)) + 1)
+    ls = np.arange(min(MIN_L, need), max(1, min(MAX_L, need)) + 1)
     lengths = n - need + ls
     met = np.concatenate([np.zeros(1), np.cumsum(counts)])[lengths] + COLD * lengths
     k = int(np.argmin(lengths + met + VERIFY_COST * met / ls))
@@ -96,7 +118,7 @@ def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
 
 def prefix_of(s: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """A set's adaptive prefix, rarest shingles first, and its l."""
-    f = freq[(s >> np.uint64(44)).astype(np.int64)]
+    f = freq[(s >> np.uint64(SHIFT)).astype(np.int64)]
     if f.any():
         order = np.argsort(f, kind="stable")
         s, f = s[order], f[order]
@@ -113,15 +135,18 @@ def _frequencies(heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, once = _frequencies(heavy), _Once()
-        out: list[tuple[np.ndarray, int, int]] = []
+        out: list[tuple[np.ndarray, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             sizes = [len(x[0]) for x in out]
             h = np.concatenate([x[0] for x in out])
-            cls, n = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2))
+            cls, n, l = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2, 3))
+            first = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])
             before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) >> np.uint64(32)
-            before[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])] = 0  # the first has none before it
-            packed = (before << np.uint64(32) | n.astype(np.uint64)).view(np.int64)
+            before[first] = 0  # none
+            hot = freq[(h >> np.uint64(SHIFT)).astype(np.int64)] > 0
+            before[~hot | ~np.concatenate([np.zeros(1, bool), hot[:-1]])] = 0  # only runs of frequent shingles matter
+            packed = (before << np.uint64(32) | hot.astype(np.uint64) << np.uint64(31) | l.astype(np.uint64) << np.uint64(24) | np.minimum(n, MAX_N).astype(np.uint64)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(packed)], ["h", "cls", "nb"])
 
         held = 0
@@ -129,8 +154,8 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
             for _, s in _batch_rows(batch):
                 if not len(s) or not once.first(c := _class_of(s)):
                     continue
-                prefix, _ = prefix_of(s, freq, percent)
-                out.append((prefix, c, len(s)))
+                prefix, l = prefix_of(s, freq, percent)
+                out.append((prefix, c, len(s), l))
                 held += len(prefix)
                 if held > 200_000:
                     yield flush()
@@ -142,27 +167,31 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
 
 
 def _combine(parts: list[np.ndarray]) -> np.ndarray:
-    """Each pair once; columns a, b, n_a, n_b."""
+    """Each pair once; columns a, b, both sizes with l below, and the sum of its matches."""
     x = np.concatenate(parts)
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    return x[np.concatenate([np.ones(1, bool), (x[1:, :2] != x[:-1, :2]).any(1)])]
+    new = np.flatnonzero(np.concatenate([np.ones(1, bool), (x[1:, :2] != x[:-1, :2]).any(1)]))
+    y = x[new]
+    y[:, 4] = np.add.reduceat(x[:, 4], new)
+    return y
 
 
 def _pairs(percent: int):
-    names = ["a", "b", "na", "nb"]
+    names = ["a", "b", "na", "nb", "met"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         held = 0
 
         def add(cls: np.ndarray, nb: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-            """Pairs i, j of rows that first meet here and whose sizes allow the threshold."""
+            """Pairs i, j of rows whose sizes allow the threshold. At a frequent shingle they count as ENOUGH, unless they agree in a frequent one just before."""
             nonlocal held
             a, b, x, y = cls[i], cls[j], nb[i], nb[j]
-            n, m = x & 0xFFFFFFFF, y & 0xFFFFFFFF
+            n, m = x & MAX_N, y & MAX_N
             ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x >> 32 != y >> 32) | (x >> 32 == 0))
             if ok.any():
-                parts.append(np.stack([a[ok], b[ok], n[ok], m[ok]], 1))
+                x, y = x[ok], y[ok]
+                parts.append(np.stack([a[ok], b[ok], n[ok] << 8 | x >> 24 & 127, m[ok] << 8 | y >> 24 & 127, np.where(x >> 31 & 1, ENOUGH, 1)], 1))
                 held += len(parts[-1])
 
         def groups(h: np.ndarray, cls: np.ndarray, nb: np.ndarray) -> Iterator[None]:
@@ -191,7 +220,7 @@ def _pairs(percent: int):
                 x = _combine(parts)
                 parts, held = [x], len(x)
                 if held > 1_000_000 or rest:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(5)], names)
                     parts, held = [], 0
 
         left = [np.empty(0, np.int64)] * 3
@@ -290,14 +319,14 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = materialize(docs.mapInArrow(_classes, "kind int, doc_id long, cls long, n long"), "classes")
-    members = first.where("kind = 0").select("doc_id", "n", "cls")
-    top = first.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY).collect()
-    heavy = (np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64))
-
+    first = materialize(docs.mapInArrow(_classes, "doc_id long, cls long, n long, sketch binary"), "classes")
+    members = first.where("cls is not null").select("doc_id", "n", "cls")
+    heavy = _heavy(first.where("cls is null").select("sketch"))
     postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nb long")
-    pairs = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, na long, nb long")
-    candidates = materialize(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "candidates")
+    pairs = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, na long, nb long, met long")
+    counted = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
+    enough = counted.where("met >= least(na % 256, nb % 256)")
+    candidates = materialize(enough.select("a", "b", F.expr("na div 256").alias("na"), F.expr("nb div 256").alias("nb")), "candidates")
 
     needed = candidates.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(candidates.select("b", "nb")).distinct()
     n_classes, n_shingles = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
