@@ -108,7 +108,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LO
     keyed, deleted = repeated_runs(docs, min_lines, long_line)
     gone = deleted.groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("gone"), F.max("lcp").alias("lcp"))
     lines = F.split("text", "\n")
-    joined = keyed.select(F.col("_row").alias("row"), "doc_id", "text").join(gone, "row", "left")
+    # deletions grow with the input: the same shuffled join at every size, not a broadcast while they are few
+    joined = keyed.select(F.col("_row").alias("row"), "doc_id", "text").join(gone.hint("merge"), "row", "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     return joined.select(
         "doc_id",
