@@ -56,36 +56,71 @@ class Encoder:
     holds or composes with a blank. Long stretches aren't remembered, and the memory is bounded.
     """
 
-    LIMIT = 500_000
+    LIMIT = 200_000
     LONG = 64
+    _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.marks = {c: self._plain(c) for c in ".,"}
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        """The process's encoder, with what it remembers from earlier tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+        """ASCII stretches count in lower case, as the normalizer would have them, and without one point or comma after
+        a letter, where the pre-tokenizer cuts. Stretches that may hold an added token stay as they are."""
+        forms: dict[str, list[tuple[str, bytes]]] = {}
+        for p in parts:
+            q, tail = p, b""
+            if p.isascii() and "<|" not in p:
+                q = p.lower()
+                if len(q) > 1 and q[-1] in ".," and "a" <= q[-2] <= "z":
+                    q, tail = q[:-1], self.marks[q[-1]]
+            forms.setdefault(q, []).append((p, tail))
+        new = [q for q in forms if q not in self.known]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
             encoding = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
             if len(words) and (words.min() < 0 or (np.diff(words) < 0).any()):
-                for p in some:
-                    self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                for q in some:
+                    self.known[q] = self._plain(q)
                 continue
             edges = np.searchsorted(words, np.arange(len(some) + 1))
             data = ids.tobytes()
-            for p, a, b in zip(some, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist()):
-                self.known[p] = data[a:b]
+            for q, a, b in zip(some, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist()):
+                self.known[q] = data[a:b]
+        for q, each in forms.items():
+            ids = self.known[q]
+            for p, tail in each:
+                self.known[p] = ids + tail
+            if len(q) > self.LONG and all(p != q for p, _ in each):
+                del self.known[q]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-        new = set().union(*cut) - self.known.keys()
+        every = set().union(*cut)
+        new = every - self.known.keys()
         if len(self.known) + len(new) > self.LIMIT:
-            self.known = {"": b""}
-            new = set().union(*cut)
+            self.old, self.known = self.known, {"": b""}
+            new = every - self.known.keys()
+        if self.old:
+            again = new & self.old.keys()
+            self.known.update((p, self.old[p]) for p in again)
+            new -= again
         self._learn(sorted(new))
         out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
         for p in new:
@@ -94,7 +129,7 @@ class Encoder:
         return out
 
 
-def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _pieces(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[list, list]]:
     """Ids and texts of a batch, some MB at a time."""
     ids, texts, held = [], [], 0
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -117,7 +152,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
     lowest = fit.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             for _, texts in _pieces(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(texts), pa.binary())], ["ids"])
@@ -153,7 +188,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), _compressor(dictionary)
+        encoder, packer = Encoder.of(tokenizer), _compressor(dictionary)
         for batch in batches:
             for ids, texts in _pieces(batch):
                 raw = [x + tail for x in encoder.encode(texts)]

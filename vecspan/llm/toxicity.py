@@ -124,7 +124,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps:
 class Scorer:
     """Scores whole texts; remembers which features of the model a word has, up to a number of words."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, model: OrdinalModel) -> None:
         self.model = model
