@@ -298,6 +298,16 @@ def test_lm_scores(spark, tables, empty, data):
     assert all(r.n_phrases == r.n_words for r in lone)
 
 
+def test_lm_scores_use_the_whole_reference(spark, tables, data):
+    reference = lm_score.clean_reference(tables[0], spark.read.parquet(f"{data}/labels.parquet")).limit(25)
+    kept = [(i, lm_score.words_of(x)) for i, x in rows_of(reference)]
+    docs = [(i, " ".join((x or "").split()[:150])) for i, x in rows_of(tables[0].limit(40)) + rows_of(reference)[:5]]
+    docs += [(1000, docs[-1][1]), (1001, docs[-1][1]), (None, "one two"), (1002, None), kept[0][:1] + (b" ".join(kept[0][1]).decode(),)]
+    for shard_chars in (4_000, 10_000_000):  # many blocks or one: the same scores
+        got = lm_score.cross_parse_scores(spark.createDataFrame(docs, "doc_id long, text string"), reference, shard_chars=shard_chars, slice_chars=3_000).collect()
+        same([(r.doc_id, r.ref_words, r.n_phrases) for r in got], [(i, sum(len(w) for _, w in kept), brute_cross(lm_score.words_of(x), [w for j, w in kept if j != i])) for i, x in docs])
+
+
 def test_toxicity(spark, tables, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
