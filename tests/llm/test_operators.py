@@ -86,6 +86,18 @@ def test_licenses(tables, empty):
     assert license_scan.license_summary(empty).count() == 0
 
 
+def test_license_gates_lose_no_match(spark, tables):
+    texts = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "Internet Systems Consortium License", "PSF license", "under a commercial licence"]
+    texts += ["This software is provided as is without any express or implied warranty. In no event will the authors be held liable", "Do What The Fuck You Want To Public License"]
+    texts += ["you may not use this file except in compliance with the License", "beer ware licence", "beerware license", "see the copying file for more terms", "all rights reserved (c)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(tables[0].select("doc_id", "text").limit(100))
+    for r in license_scan.scan_licenses(docs).collect():
+        norm = f" {' '.join(TERM.findall(lower(r.text)))} "
+        every = [(norm.count(" ", 0, m.start()) - 1, norm.count(" ", 0, m.end()), p, label) for p, label, _, rx in rules() for m in re.finditer(rf"(?<= )(?:{rx})(?= )", norm)]
+        same(map(tuple, r.found), every)
+        assert every or r.text not in texts
+
+
 def brute_contamination(docs, items):
     windows = defaultdict(set)
     for i, t in items:

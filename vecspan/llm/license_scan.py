@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import rules
+from .license_rules import gates, rules
 from .text import terms
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -41,14 +41,14 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     ``base`` holds (s, e, label) of each place of a base phrase. ``found`` holds (s, e, priority, label) of every match
     of every rule, and ``kept`` those in no other's interval: of nested intervals the outer one stays, of equal ones
     the one of the first priority, then label. Words count from 0, ``e`` is the word after the last. ``score`` is the share of
-    words that kept detections cover. Rules are data: a folded constant array that each row filters by the required words it has,
-    and only rows with any such word get that far. Null and empty texts have 0 words and no detections.
+    words that kept detections cover. Rules are data: a folded constant array that each row filters by the words it has, as every match of a
+    rule holds all words of one of the rule's gates, and only rows with any such word get that far. Null and empty texts have 0 words and no detections.
     Columns of ``docs`` with these names are replaced.
     """
     table = rules()
-    keywords = sorted({w for r in table for w in r[2]})
-    literal = json.dumps([{"p": p, "label": label, "req": req, "rx": _found(rx)} for p, label, req, rx in table])
-    rule_array = F.from_json(F.lit(literal), "array<struct<p: int, label: string, req: array<string>, rx: string>>")
+    keywords = sorted({w for r in table for ws in gates(r[3]) for w in ws})
+    literal = json.dumps([{"p": p, "label": label, "any": gates(rx), "rx": _found(rx)} for p, label, _, rx in table])
+    rule_array = F.from_json(F.lit(literal), "array<struct<p: int, label: string, any: array<array<string>>, rx: string>>")
     base_pattern = _found("|".join(BASE))
     base_label = F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair])
 
@@ -61,7 +61,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     named = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(base_label, F.array_join(F.slice("_words", x["s"] + 1, x["e"] - x["s"]), " ")).alias("label"))
     d = d.withColumn("base", F.coalesce(F.transform("_base", named), F.array().cast("array<struct<s: int, e: int, label: string>>")))
 
-    d = d.withColumn("_rules", F.when(F.size("_keys") > 0, F.filter(rule_array, lambda r: F.forall(r["req"], lambda k: F.array_contains("_keys", k)))))
+    d = d.withColumn("_rules", F.when(F.size("_keys") > 0, F.filter(rule_array, lambda r: F.exists(r["any"], lambda ws: F.forall(ws, lambda k: F.array_contains("_keys", k))))))
     each = f"transform({_places('_norm', 'r.rx')}, p -> named_struct('s', p.s, 'e', p.e, 'priority', r.p, 'label', r.label))"
     kind = "array<struct<s: int, e: int, priority: int, label: string>>"
     d = d.withColumn("found", F.when(F.size("_rules") > 0, F.expr(f"flatten(transform(_rules, r -> {each}))")).otherwise(F.array().cast(kind)))
