@@ -25,3 +25,10 @@ def test_query_against_sql(spark, data, name):
     assert sorted(found.columns) == columns
     at = [found.columns.index(c) for c in columns]
     assert got == sorted(repr(tuple(r[k] for k in at)) for r in found.fetchall())
+
+
+def test_ingest_takes_the_whole_table(spark, data):
+    ids = [str(r.vec_id) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()]
+    got = sorted(map(repr, map(tuple, QUERIES["ingest_directory"](spark, data).collect())))
+    reasons = ("bad_id", "not_object", "wrong_dim", "bad_embedding", "parse_error")
+    assert got == sorted(map(repr, [*((i, None) for i in ids), ("0", None), *((None, r) for r in reasons)]))

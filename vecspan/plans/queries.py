@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
-from collections.abc import Callable
-from pathlib import Path
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -266,18 +269,57 @@ def demo_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("item_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"))
 
 
+def _shared_place(spark: SparkSession) -> str:
+    """A new folder, as a URI, that all executors share; on this machine if the master is local and none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:
+        place = tempfile.TemporaryDirectory(prefix="vecspan-in-")
+        atexit.register(place.cleanup)
+        named = place.name
+    uri = named if "://" in named else f"file://{named.removeprefix('file:')}"
+    return f"{uri.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+
+
+def _write_arrays(docs: DataFrame, place: str, file_docs: int = 500) -> None:
+    """Write ``docs``, one JSON document a row, as files that hold an array each."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(place)
+        system.create_dir(root)
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, file_docs):
+                with system.open_output_stream(f"{root}/table-{task}-{at}.json") as f:
+                    f.write(("[" + ",\n".join(batch.column(0).slice(start, file_docs).to_pylist()) + "]").encode())
+                at += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([at], pa.int64())})
+
+    docs.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 @_query()
 def ingest_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directory with valid, broken and mistyped documents: what is kept, and why the rest isn't."""
-    place = tempfile.TemporaryDirectory(prefix="vecspan-in-")
-    atexit.register(place.cleanup)
-    vectors = _read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(3).collect()  # the directory's documents, not a cut of the table
-    doc = lambda i, e: {"id": i, "text": f"text {i}", "metadata": {"embedding": list(e), "k": {"n": 1}}}
-    dim = len(vectors[0]["embedding"])
-    good = [doc(str(r["vec_id"]), r["embedding"]) for r in vectors]
-    Path(place.name, "many.json").write_text(json.dumps([*good, {**good[0], "id": 7}, "junk", doc("short", [1.0]), doc("typed", ["1"] * dim)]))
-    Path(place.name, "one.json").write_text("  " + json.dumps(dict(reversed(good[0].items()))))
-    Path(place.name, "broken.json").write_text('[{"id": "x", ')
-    Path(place.name, "OTHER.JSON").write_text(json.dumps(good))
-    valid, rejected = read_json_dir(spark, place.name, dim)
+    """A directory with the whole table and some broken and mistyped documents: what is kept, and why the rest isn't."""
+    place = _shared_place(spark)
+    vectors = _vectors(spark, sf_dir)
+    metadata = F.struct("embedding", F.struct(F.lit(1).alias("n")).alias("k")).alias("metadata")
+    name = F.col("vec_id").cast("string")
+    _write_arrays(vectors.select(F.to_json(F.struct(name.alias("id"), F.concat(F.lit("text "), name).alias("text"), metadata))), place)
+    vector = _first(spark, sf_dir)
+    dim = len(vector)
+    doc = lambda i, e: {"id": i, "text": f"text {i}", "metadata": {"embedding": e, "k": {"n": 1}}}
+    extra = {
+        "many.json": json.dumps([{**doc("0", vector), "id": 7}, "junk", doc("short", [1.0]), doc("typed", ["1"] * dim)]),
+        "one.json": "  " + json.dumps(dict(reversed(doc("0", vector).items()))),
+        "broken.json": '[{"id": "x", ',
+        "OTHER.JSON": json.dumps([doc("0", vector)]),
+    }
+    system, root = fs.FileSystem.from_uri(place)
+    system.create_dir(root)
+    for file, text in extra.items():
+        with system.open_output_stream(f"{root}/{file}") as f:
+            f.write(text.encode())
+    valid, rejected = read_json_dir(spark, place, dim)
     return valid.select("id", F.lit(None).cast("string").alias("reason")).union(rejected.select(F.lit(None).cast("string"), "reason"))
