@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vecspan.llm import decontaminate, jaccard_join, mixing, token_store, toxicity
 from vecspan.llm.storage import materialize, scratch, with_row_key
 
-MIX_SHARE = 1.0  #: tokens of the mix, as a share of the tokens that come in
+MIX_SHARE = mixing.SHARE  #: words of the mix, as a share of the words that come in
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,6 +393,13 @@ def test_pipeline(spark, data):
     assert Counter(map(repr, out)) == Counter(map(repr, last))
 
 
+def test_pipeline_mixes_as_op9_does(spark, data):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    same(rows_of(p.source_mixing(spark, docs, data)), rows_of(mixing.mixed_documents(docs, share=mixing.SHARE)))
+
+
 def test_pipeline_edges(spark, edges, empty, data):
     import corpus_pipeline as p
 
