@@ -320,6 +320,15 @@ def test_lm_scores_use_the_whole_reference(spark, tables, data):
         same([(r.doc_id, r.ref_words, r.n_phrases) for r in got], [(i, sum(len(w) for _, w in kept), brute_cross(lm_score.words_of(x), [w for j, w in kept if j != i])) for i, x in docs])
 
 
+def test_lm_scores_with_few_long_references(spark):
+    text = " ".join(f"w{k % 50}" for k in range(400))
+    for n in (1, 10):
+        rows = spark.createDataFrame([(k, text) for k in range(n)], "doc_id long, text string")
+        docs = spark.createDataFrame([(100 + k, "w1 w2 w3 w4") for k in range(20)], "doc_id long, text string")
+        got = lm_score.cross_parse_scores(docs, rows, shard_chars=len(text)).collect()
+        assert {(r.ref_words, r.n_phrases) for r in got} == {(400 * n, 1)} and len(got) == 20
+
+
 def test_toxicity(spark, tables, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
