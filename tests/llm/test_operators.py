@@ -168,6 +168,36 @@ def test_jaccard_near_copies(spark):
     same([tuple(r) for r in got.collect()], brute_groups(rows))
 
 
+def test_jaccard_families_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 6_000)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(150):
+        w = [f"g{i % 2}w{k}" for k in range(60)]
+        for k in rng.choice(60, rng.integers(0, 9), replace=False):
+            w[k] = f"x{rng.integers(0, 50)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = list(brute_groups(rows))
+    same([tuple(r) for r in jaccard_join.jaccard_groups(docs).collect()], want)
+    members, links = jaccard_join.similar_classes(docs)
+    met = links.collect()
+    assert len(met) == len(set(met))
+    of = defaultdict(list)
+    for r in members.collect():
+        of[r.cls].append(r.doc_id)
+    near = Counter()
+    for each in of.values():
+        for d in each:
+            near[d] += len(each) - 1
+    for a, b in met:
+        for d in of[a]:
+            near[d] += len(of[b])
+        for d in of[b]:
+            near[d] += len(of[a])
+    assert {r[0]: r[2] for r in want} == {d: near[d] for d, _ in rows}
+
+
 def brute_dedup(docs):
     ordered = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0, k))
     seen, out = set(), {}

@@ -9,13 +9,13 @@ Exact: no pair at or above the threshold is lost, whatever the order of shingles
    Each document lengthens its prefix (raises l) for as long as that lowers its estimated cost of
    postings plus candidates, and a pair is verified only when it shares min(l_a, l_b) prefix shingles.
 3. Postings are shuffled by shingle, and pairs count their matches, inside each partition before
-   they are shuffled; only sizes that allow the threshold make a pair. A match in a frequent shingle is
-   enough for a pair (frequent ones are in prefixes of little else), and is left out where the two agree
-   in a frequent shingle just before it too, so that large groups of near copies meet a few times
-   instead of at each shingle.
-4. Pairs are verified in blocks, with classes that have the same least partner in one block (a large
-   such group in several): a class's set goes once to each pair of blocks that needs it. The prefixes
-   are compared first, and the sets only with enough matches.
+   they are shuffled; only sizes that allow the threshold make a pair. A shingle whose classes would make more than
+   DENSE pairs each, as in large groups of near copies, makes none: its classes join the *family* of their least class.
+   Candidate pairs form families around their least classes too. So all that is shuffled grows with the postings.
+   A shingle of more than SALT classes is split, so that each two parts of it meet in some task.
+4. A family's sets meet in blocks: one block, or each pair of sub-blocks of a large family. All intersections in a block are
+   counted from its own inverted index. Two classes that share several families are compared in the least of these.
+   A block returns one row for each class: the copies linked to it there, and the least class it is connected to.
 5. Components come from star contraction over classes.
 """
 
@@ -36,13 +36,16 @@ from .storage import materialize
 PERCENT = 70
 SHIFT = 42
 BUCKETS = 1 << (64 - SHIFT)  #: counters of the frequency sketch, by the upper bits of a shingle
+SLICE = 1 << 16  #: counters that are summed in one row
 HEAVY = 1 << 17  #: most buckets that count as frequent; bounds what is broadcast
 MIN_L, MAX_L = 6, 12  #: of sets that have as many needed matches
-ENOUGH = 1_000
 VERIFY_COST = 8.0  #: cost of a candidate, in postings
 COLD = 0.05  #: candidates expected of a shingle that isn't frequent
+DENSE = 16  #: pairs for each class of a shingle that still are made
+SALT = 1_000_000  #: postings of a frequent shingle that one task gets, about
 BLOOM_BITS = 1 << 25
 BLOCK_BYTES = 4 << 20  #: of the sets of a block, about
+CELLS = 2_000_000  #: counters of intersections that are held at once, about
 MAX_N = (1 << 24) - 1  #: larger sizes count as this where sizes are only compared
 SEEN = 1 << 20  #: classes that a task remembers to emit each once
 
@@ -69,7 +72,7 @@ class _Once(set):
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, class, n); in the end one row that has the task's sketch instead."""
+    """Rows of (doc_id, class, n); in the end the task's sketch, in rows of (slice as n, sketch)."""
     names = ["doc_id", "cls", "n", "sketch"]
     counts, once = np.zeros(BUCKETS, np.uint16), _Once()
     for batch in batches:
@@ -84,26 +87,31 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = (s >> np.uint64(SHIFT)).astype(np.int64)
                 counts[at] = np.minimum(counts[at], 65_534) + 1
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names)
+    for k in range(BUCKETS // SLICE):
+        part = counts[k * SLICE : (k + 1) * SLICE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
 
 
-def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.uint32)
+def _hot_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice, the buckets that stand out from the even load of rare shingles, with their counts."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column("sketch"):
+        for k, x in zip(batch.column("n").to_pylist(), batch.column("sketch")):
+            total = sums.setdefault(k, np.zeros(SLICE, np.int64))
             total += np.frombuffer(x.as_buffer(), np.uint16)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sketch"])
+    for k, total in sums.items():
+        load = float(np.median(total))
+        hot = np.flatnonzero(total > load + 6 * load**0.5 + 2)
+        hot = hot[np.argsort(-total[hot], kind="stable")[: HEAVY * SLICE // BUCKETS]]
+        yield pa.RecordBatch.from_arrays([pa.array([(hot + k * SLICE).astype(np.int64).tobytes()], pa.binary()), pa.array([total[hot].tobytes()], pa.binary())], ["buckets", "counts"])
 
 
 def _heavy(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) that stand out from the even load of rare shingles; HEAVY at most."""
-    total = np.zeros(BUCKETS, np.int64)
-    for row in sketches.coalesce(2).mapInArrow(_add_sketches, "sketch binary").toLocalIterator():
-        total += np.frombuffer(row[0], np.uint32)
-    load = float(np.median(total))
-    hot = np.flatnonzero(total > load + 6 * load**0.5 + 2)
-    hot = hot[np.argsort(-total[hot], kind="stable")[:HEAVY]]
-    return hot, total[hot]
+    """(buckets, counts) of frequent shingles; HEAVY at most."""
+    rows = sketches.repartition(BUCKETS // SLICE, "n").mapInArrow(_hot_buckets, "buckets binary, counts binary").collect()
+    joined = [np.frombuffer(b"".join(r[k] for r in sorted(rows)), np.int64) for k in (0, 1)]
+    return joined[0], joined[1]
 
 
 def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -132,7 +140,25 @@ def _frequencies(heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return freq
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate([np.ones(1, bool), x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
+
+
+def _salted(h: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows) so that each two classes of a shingle share a key, each of which has two of ``parts`` parts."""
+    rows = np.repeat(np.arange(len(h)), parts)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+    mine = (cls[rows].view(np.uint64) % parts[rows].astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return h[rows] + (low << np.uint64(32) | high) * np.uint64(0x9E3779B97F4A7C15), rows
+
+
 def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
+    """(h, cls, nb): a shingle of the class's prefix, with n and l in nb."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, once = _frequencies(heavy), _Once()
         out: list[tuple[np.ndarray, int, int, int]] = []
@@ -141,13 +167,12 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
             sizes = [len(x[0]) for x in out]
             h = np.concatenate([x[0] for x in out])
             cls, n, l = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2, 3))
-            first = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])
-            before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) >> np.uint64(32)
-            before[first] = 0  # none
-            hot = freq[(h >> np.uint64(SHIFT)).astype(np.int64)] > 0
-            before[~hot | ~np.concatenate([np.zeros(1, bool), hot[:-1]])] = 0  # only runs of frequent shingles matter
-            packed = (before << np.uint64(32) | hot.astype(np.uint64) << np.uint64(31) | l.astype(np.uint64) << np.uint64(24) | np.minimum(n, MAX_N).astype(np.uint64)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(packed)], ["h", "cls", "nb"])
+            nb = l << 24 | np.minimum(n, MAX_N)
+            parts = freq[(h >> np.uint64(SHIFT)).astype(np.int64)] // SALT + 1
+            if parts.max() > 1:
+                h, rows = _salted(h, cls, parts)
+                cls, nb = cls[rows], nb[rows]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(nb)], ["h", "cls", "nb"])
 
         held = 0
         for batch in batches:
@@ -167,52 +192,65 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
 
 
 def _combine(parts: list[np.ndarray]) -> np.ndarray:
-    """Each pair once; columns a, b, both sizes with l below, and the sum of its matches."""
+    """Each pair of a kind once; columns a, b, kind, both sizes with l below, and the sum of its matches."""
     x = np.concatenate(parts)
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    new = np.flatnonzero(np.concatenate([np.ones(1, bool), (x[1:, :2] != x[:-1, :2]).any(1)]))
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    new = np.flatnonzero(np.concatenate([np.ones(1, bool), (x[1:, :3] != x[:-1, :3]).any(1)]))
     y = x[new]
-    y[:, 4] = np.add.reduceat(x[:, 4], new)
+    y[:, 5] = np.add.reduceat(x[:, 5], new)
     return y
 
 
 def _pairs(percent: int):
-    names = ["a", "b", "na", "nb", "met"]
+    names = ["a", "b", "kind", "na", "nb", "met"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of postings in the order of (h, cls): pairs with their matches (kind 0), and (family, class) as kind 1."""
         parts: list[np.ndarray] = []
         held = 0
 
         def add(cls: np.ndarray, nb: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-            """Pairs i, j of rows whose sizes allow the threshold. At a frequent shingle they count as ENOUGH, unless they agree in a frequent one just before."""
             nonlocal held
-            a, b, x, y = cls[i], cls[j], nb[i], nb[j]
-            n, m = x & MAX_N, y & MAX_N
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x >> 32 != y >> 32) | (x >> 32 == 0))
-            if ok.any():
-                x, y = x[ok], y[ok]
-                parts.append(np.stack([a[ok], b[ok], n[ok] << 8 | x >> 24 & 127, m[ok] << 8 | y >> 24 & 127, np.where(x >> 31 & 1, ENOUGH, 1)], 1))
-                held += len(parts[-1])
+            swap = cls[i] > cls[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            x, y, one = nb[i], nb[j], np.ones(len(i), np.int64)
+            parts.append(np.stack([cls[i], cls[j], one * 0, (x & MAX_N) << 8 | x >> 24, (y & MAX_N) << 8 | y >> 24, one], 1))
+            held += len(one)
+
+        def large(cls: np.ndarray, nb: np.ndarray) -> None:
+            """One shingle's classes: pairs, or a family for each stretch of sizes without a gap that no link spans."""
+            nonlocal held
+            by = np.argsort(nb & MAX_N, kind="stable")
+            cls, nb = cls[by], nb[by]
+            n = nb & MAX_N
+            upto = np.searchsorted(n, 100 * n // percent, "right") - np.arange(len(n)) - 1
+            if upto.sum() <= DENSE * len(n):
+                i = np.repeat(np.arange(len(n)), upto)
+                add(cls, nb, i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(upto) - upto, upto))
+                return
+            for part in np.split(cls, np.flatnonzero(upto[:-1] == 0) + 1):
+                if len(part) > 1:
+                    zero = np.zeros(len(part), np.int64)
+                    parts.append(np.stack([zero + part.min(), part, zero + 1, zero, zero, zero], 1))
+                    held += len(part)
 
         def groups(h: np.ndarray, cls: np.ndarray, nb: np.ndarray) -> Iterator[None]:
-            """Whole groups of equal h, in which cls ascends."""
-            at = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
-            size = np.diff(np.append(at, len(h)))
-            for m in np.unique(size[size > 1]).tolist():
+            at, size = _runs(h)
+            for start, m in zip(at[size > DENSE].tolist(), size[size > DENSE].tolist()):
+                large(cls[start : start + m], nb[start : start + m])
+                yield
+            for m in range(2, DENSE + 1):
                 starts = at[size == m]
-                step = max(1, 1_000_000 // (m * m))
-                if m <= 1000:
-                    i, j = np.triu_indices(m, 1)
-                    for k in range(0, len(starts), step):
-                        base = starts[k : k + step, None]
-                        add(cls, nb, (base + i).ravel(), (base + j).ravel())
+                i, j = np.triu_indices(m, 1)
+                step = max(1, 1_000_000 // len(i))
+                for k in range(0, len(starts), step):
+                    base = starts[k : k + step, None]
+                    i2, j2 = (base + i).ravel(), (base + j).ravel()
+                    n, o = nb[i2] & MAX_N, nb[j2] & MAX_N
+                    ok = 100 * np.minimum(n, o) >= percent * np.maximum(n, o)
+                    if ok.any():
+                        add(cls, nb, i2[ok], j2[ok])
                         yield
-                else:
-                    for s in starts.tolist():
-                        for i in range(s, s + m - 1):
-                            j = np.arange(i + 1, s + m)
-                            add(cls, nb, np.full(len(j), i), j)
-                            yield
 
         def emit(rest: bool) -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
@@ -220,21 +258,28 @@ def _pairs(percent: int):
                 x = _combine(parts)
                 parts, held = [x], len(x)
                 if held > 1_000_000 or rest:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(5)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(6)], names)
                     parts, held = [], 0
 
-        left = [np.empty(0, np.int64)] * 3
+        left: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            h, cls, nb = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False)]) for old, k in zip(left, ("h", "cls", "nb")))
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "cls", "nb")]
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if not cut and left[0] and left[0][-1][-1] == new[0][0]:
+                for old, x in zip(left, new):
+                    old.append(x)
+                continue
+            h, cls, nb = (np.concatenate([*old, x[:cut]]) for old, x in zip(left, new))
+            left = [[x[cut:]] for x in new]
             keep = np.concatenate([np.ones(1, bool), (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]) if len(h) else np.empty(0, bool)
-            h, cls, nb = h[keep], cls[keep], nb[keep]
-            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            left = [x[cut:] for x in (h, cls, nb)]
-            if cut:
-                for _ in groups(h[:cut], cls[:cut], nb[:cut]):
-                    yield from emit(False)
-        if len(left[0]):
-            for _ in groups(*left):
+            for _ in groups(h[keep], cls[keep], nb[keep]):
+                yield from emit(False)
+        if left[0]:
+            h, cls, nb = (np.concatenate(old) for old in left)
+            keep = np.concatenate([np.ones(1, bool), (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])])
+            for _ in groups(h[keep], cls[keep], nb[keep]):
                 yield from emit(False)
         yield from emit(True)
 
@@ -277,78 +322,167 @@ def _sets(bloom: np.ndarray):
     return run
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays without repeats."""
-    if not len(x) or not len(y):
-        return 0
-    if len(y) > len(x):
-        x, y = y, x
-    at = np.searchsorted(x, y)
-    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
-
-
-def _verify(heavy: tuple[np.ndarray, np.ndarray], percent: int):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        freq = _frequencies(heavy)
-        prefixes: dict[int, tuple[np.ndarray, int]] = {}
-
-        def prefix(c: int) -> tuple[np.ndarray, int]:
-            if c not in prefixes:
-                p, l = prefix_of(by[c], freq, percent)
-                prefixes[c] = np.sort(p), l
-            return prefixes[c]
-
-        by = dict(zip(sets.column("cls").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("shingles"))))
-        a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
-        good = np.zeros(len(a), bool)
-        for k, (c, d) in enumerate(zip(a.tolist(), b.tolist())):
-            (p, lp), (q, lq) = prefix(c), prefix(d)
-            if _common(p, q) >= min(lp, lq):
-                shared = _common(by[c], by[d])
-                good[k] = 100 * shared >= percent * (len(by[c]) + len(by[d]) - shared)
-        return pa.table({"a": a[good], "b": b[good]})
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of all sets of x with all of y: (first row, counts) for some rows of x at a time."""
+    flat, sizes = np.concatenate(y), np.array([len(s) for s in y])
+    owner = np.repeat(np.arange(len(y)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    at = 0
+    while at < len(x):
+        to, met = at, 0
+        spans = []
+        while to < len(x) and (to == at or (to - at + 1) * len(y) <= CELLS and met <= CELLS):
+            low, high = np.searchsorted(flat, x[to]), np.searchsorted(flat, x[to], "right")
+            some = high > low
+            spans.append((low[some], (high - low)[some]))
+            met += int(spans[-1][1].sum())
+            to += 1
+        counts = np.zeros((to - at, len(y)), np.int64)
+        low, size = np.concatenate([s[0] for s in spans]), np.concatenate([s[1] for s in spans])
+        row = np.repeat(np.arange(to - at), [len(s[0]) for s in spans])
+        if len(low):
+            each = np.repeat(low - np.concatenate([np.zeros(1, np.int64), np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+            counts = np.bincount(np.repeat(row, size) * len(y) + owner[each], minlength=counts.size).reshape(counts.shape)
+        yield at, counts
+        at = to
+
+
+def _met_before(family: int, mine: list[list[int]], other: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the pairs that share a lesser family than this, and are compared there."""
+    by: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
+    for held, each in zip(by, (mine, other)):
+        for k, families in enumerate(each):
+            for f in families:
+                if f < family:
+                    held.setdefault(f, []).append(k)
+    return [(np.array(rows), np.array(by[1][f])) for f, rows in by[0].items() if f in by[1]]
+
+
+def _linked(family: int, x: list[dict], y: list[dict], same: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, columns) of the links between classes of x and of y; each link of x with itself from both sides."""
+    sets = [[np.frombuffer(r["shingles"], np.uint64) for r in each] for each in (x, y)]
+    n = [np.array([len(s) for s in each]) for each in sets]
+    skip = _met_before(family, [r["families"] for r in x], [r["families"] for r in y])
+    for at, counts in _overlaps(*sets):
+        rows = np.arange(at, at + len(counts))
+        good = 100 * counts >= percent * (n[0][rows][:, None] + n[1][None, :] - counts)
+        if same:
+            good[np.arange(len(rows)), rows] = False
+        for mine, other in skip:
+            mine = mine[(mine >= at) & (mine < at + len(counts))] - at
+            if len(mine):
+                good[np.ix_(mine, other)] = False
+        for k in np.flatnonzero(good.any(1)).tolist():
+            yield at + k, np.flatnonzero(good[k])
+
+
+def _verify(percent: int, pairs: bool):
+    """A block's classes: with ``pairs`` all links (cls, other), else (cls, near, label) of each linked class."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        groups: dict[tuple[int, int, int], tuple[list[dict], list[dict]]] = {}
+        for r in rows.to_pylist():
+            groups.setdefault((r["family"], r["p"], r["q"]), ([], []))[int(r["sub"] != r["p"])].append(r)
+        cls, second, third = [], [], []
+        for (family, p, q), (x, y) in groups.items():
+            same = p == q
+            y = x if same else y
+            if not x or not y or same and len(x) < 2:
+                continue
+            names = np.array([r["cls"] for r in x] + ([] if same else [r["cls"] for r in y]))
+            sizes = np.array([r["size"] for r in x] + ([] if same else [r["size"] for r in y]))
+            shift = 0 if same else len(x)
+            near, label = np.zeros(len(names), np.int64), np.arange(len(names))
+            for i, others in _linked(family, x, y, same, percent):
+                others = others + shift
+                if pairs:
+                    others = others[others > i]
+                    cls.append(np.minimum(names[i], names[others]))
+                    second.append(np.maximum(names[i], names[others]))
+                    continue
+                near[i] += sizes[others].sum()
+                if not same:
+                    near[others] += sizes[i]
+                roots = np.unique(np.append(label[others], label[i]))
+                if len(roots) > 1:
+                    label[np.isin(label, roots)] = roots[0]
+            some = np.flatnonzero(near)
+            if len(some):
+                least = np.full(len(names), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, names)
+                cls.append(names[some])
+                second.append(near[some])
+                third.append(least[label[some]])
+        fields = [("cls", cls), ("other", second)] if pairs else [("cls", cls), ("near", second), ("label", third)]
+        return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in fields})
 
     return run
 
 
-def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the join.
-
-    ``members`` has doc_id, n (shingles) and cls of every row; ``links`` has one row (a < b) for each
-    pair of classes that meet the threshold. Texts without words have n = 0 and no links.
-    """
-    spark = docs.sparkSession
+def _families(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """(family, cls), each once: every two classes that may meet the threshold share a family."""
+    heavy = _heavy(first.where("cls is null").select("n", "sketch"))
+    postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nb long")
+    met = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, kind long, na long, nb long, met long")
+    counted = met.groupBy("a", "b", "kind").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
+    found = materialize(counted.where("kind = 1 or met >= least(na % 256, nb % 256)").select("a", "b", "kind"), "candidates")
+    dense = found.where("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("cls"))
+    pairs = found.where("kind = 0").select("a", "b")
+    least = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    led = pairs.join(least, "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("other")), "b").select("a", "b", F.least("least", "other").alias("family"))
+    each = led.select("family", F.explode(F.array("a", "b")).alias("cls"))
+    return dense.union(each).distinct()
+
+
+def _largest(families: DataFrame) -> DataFrame:
+    """``families`` without those whose classes are all in a larger family (or an equal one of lesser name), as far as the least class's families show."""
+    of = families.groupBy("cls").agg(F.collect_list("family").alias("own"))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    met = families.join(of, "cls").join(of.select(F.col("cls").alias("family"), F.col("own").alias("leads")), "family")
+    shared = met.select("family", F.explode(F.array_intersect("own", "leads")).alias("by")).where("by <> family").groupBy("family", "by").agg(F.count(F.lit(1)).alias("k"))
+    inside = shared.join(sizes, "family").where("k = m").join(sizes.select(F.col("family").alias("by"), F.col("m").alias("most")), "by")
+    gone = inside.where("most > m or most = m and by < family").select("family").distinct()
+    return families.join(gone, "family", "left_anti").join(sizes.where("m > 1").select("family"), "family", "left_semi")
+
+
+def _compared(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, what the blocks say)."""
     docs = docs.select("doc_id", "text")
     first = materialize(docs.mapInArrow(_classes, "doc_id long, cls long, n long, sketch binary"), "classes")
     members = first.where("cls is not null").select("doc_id", "n", "cls")
-    heavy = _heavy(first.where("cls is null").select("sketch"))
-    postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nb long")
-    pairs = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, na long, nb long, met long")
-    counted = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
-    enough = counted.where("met >= least(na % 256, nb % 256)")
-    candidates = materialize(enough.select("a", "b", F.expr("na div 256").alias("na"), F.expr("nb div 256").alias("nb")), "candidates")
-
-    needed = candidates.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(candidates.select("b", "nb")).distinct()
-    n_classes, n_shingles = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not n_classes:
-        return members, candidates.select("a", "b")
+    classes = members.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
+    families = materialize(_families(docs, first, percent), "families")
+    families = materialize(_largest(families).join(classes, "cls"), "families")
+    sized = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("subs")).where("m > 1").drop("m")
+    sub = F.pmod(F.xxhash64("cls"), F.col("subs"))
+    placed = families.join(sized, "family").withColumn("sub", sub).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+    placed = materialize(placed.select("family", "cls", "size", "n", "subs", "sub", F.least("sub", "with").alias("p"), F.greatest("sub", "with").alias("q")), "placed")
+    kind = "cls long, other long" if pairs else "cls long, near long, label long"
+    total, widest = placed.agg(F.sum("n"), F.max("subs")).first()
+    if not total:
+        return members, docs.sparkSession.createDataFrame([], kind)
+
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for row in needed.select("cls").coalesce(4).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
+    for row in placed.select("cls").distinct().coalesce(4).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
         bloom |= np.frombuffer(row[0], np.uint8)
     sets = docs.select("text").mapInArrow(_sets(bloom), "cls long, shingles binary").dropDuplicates(["cls"])
+    blocks = max(4, -(-total * 8 // BLOCK_BYTES))
+    alone = F.pmod(F.xxhash64("family"), F.lit(blocks))
+    block = alone if widest == 1 else F.when(F.col("subs") == 1, alone).otherwise(F.xxhash64("family", "p", "q"))
+    of = families.groupBy("cls").agg(F.collect_list("family").alias("families"))
+    sent = placed.withColumn("block", block).drop("n", "subs").join(of, "cls").join(sets, "cls")
+    return members, materialize(sent.groupBy("block").applyInArrow(_verify(percent, pairs), kind), "links")
+
+
+def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the join.
 
-    both = candidates.select("a", "b", F.col("na").alias("n")).union(candidates.select("b", "a", "nb"))
-    led = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("leader"), F.first("n").alias("n"))
-    groups = led.groupBy("leader").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("subs"))
-    blocks = max(4, -(-n_shingles * 8 // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("a"), F.col("subs"))), F.lit(blocks))
-    block_of = materialize(led.join(groups, "leader").select("a", block.alias("block")), "blocks")
-    keyed = candidates.select("a", "b").join(block_of.withColumnRenamed("block", "p"), "a").join(block_of.select(F.col("a").alias("b"), F.col("block").alias("q")), "b")
-    keyed = keyed.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    wanted = keyed.select("p", "q", F.col("a").alias("cls")).union(keyed.select("p", "q", "b")).distinct()
-    sent = wanted.join(sets, "cls").select(F.col("p").alias("sp"), F.col("q").alias("sq"), "cls", "shingles")
-    links = keyed.groupBy("p", "q").cogroup(sent.groupBy("sp", "sq")).applyInArrow(_verify(heavy, percent), "a long, b long")
-    return members, materialize(links, "links")
+    ``members`` has doc_id, n (shingles) and cls of every row; ``links`` has one row (a < b) for each
+    pair of classes that meet the threshold. Texts without words have n = 0 and no links.
+    """
+    members, links = _compared(docs, percent, True)
+    return members, links.select(F.col("cls").alias("a"), F.col("other").alias("b"))
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -358,22 +492,16 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies included; ``component_id`` is the smallest doc_id that links reach, the row's own included.
     Null and wordless texts have n_shingles 0, n_similar 0 and their own doc_id. Repeated rows count
     as copies of each other. Other columns are ignored. A null doc_id counts as a row but never
-    becomes a component_id, unless its whole component has no other.
+    becomes a component_id, unless its whole component has no other. Long texts count whole.
     """
-    members, links = similar_classes(docs, percent)
+    members, links = _compared(docs, percent, False)
     classes = members.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least_id"))
-    both = links.union(links.select("b", "a"))
-    degree = both.join(classes.select(F.col("cls").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("near"))
-    labels = connected_components(links)
-    sizes = classes.join(labels, classes.cls == labels.node, "left").select("cls", "size", "least_id", F.coalesce("label", "cls").alias("label"))
-    least = sizes.where("label is not null").groupBy("label").agg(F.min("least_id").alias("component_id"))
-    linked = sizes.join(labels.select("label").distinct(), "label", "left_semi").join(least, "label").select("cls", "component_id")
-    stats = (
-        classes.join(linked, "cls", "left")
-        .join(degree.withColumnRenamed("a", "cls"), "cls", "left")
-        .where("size > 1 or component_id is not null")
-        .select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("component_id", "least_id").alias("component_id"))
-    )
+    degree = links.groupBy("cls").agg(F.sum("near").alias("near"))
+    labels = connected_components(links, "cls", "label").select(F.col("node").alias("cls"), "label")
+    sizes = classes.join(degree, "cls", "left").join(labels, "cls", "left").where("size > 1 or near is not null")
+    sizes = sizes.select("cls", "size", "near", "least_id", F.coalesce("label", "cls").alias("label"))
+    least = sizes.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    stats = sizes.join(least, "label").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), "component_id")
     return members.join(stats, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
