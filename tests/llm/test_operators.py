@@ -273,6 +273,8 @@ def test_token_store(spark, tables, empty):
             at += r.n_tokens
         ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
         assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+        if t.count() == 600:
+            assert max(r.docs for r in manifest.collect()) < 120
     found = token_store.lookup(spark, manifest, 21)
     assert len(found) == 1 and found[0][-1] == 2
     assert token_store.token_digests(empty).count() == 0

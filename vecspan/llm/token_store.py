@@ -14,9 +14,11 @@ A document is read with the file's footer, the index and one frame. Shards hold
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ SAMPLE_DOCS = 1_000  #: documents whose ids train the dictionary; the bound of i
 SAMPLE_CHARS = 20_000  #: longest text that may be in the sample
 DICT_BYTES = 64 << 10
 SHARD_DOCS = 20_000  #: documents of a shard file, about
+MAX_SHARDS = 100_000  #: of a store; beyond two billion documents the shards get larger
 LEVEL = 3
+_SPREAD = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -53,11 +57,15 @@ class Encoder:
     white space) act within a stretch without U+0020 and U+000A as they do in the whole text, so that
     the ids of a text are those of its stretches in turn; tests compare with the library on whole texts.
     Two things could cross a stretch's edge, the added tokens and a leading combining mark, and neither
-    holds or composes with a blank. Long stretches aren't remembered, and the memory is bounded.
+    holds or composes with a blank. Of a stretch of letters up to U+00FF and a tail of ASCII punctuation, the pre-tokenizer
+    makes two: the letters, in lower case, which are encoded once for all tails, and the tail. Letters are encoded many at a time, as one
+    text whose words end where the vocabulary has tokens that end a word. Long stretches aren't remembered, and the memory is bounded.
     """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
     LONG = 64
+    WORD_END = "</w>"
+    _SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-;=-@\\[-`{-~]*)")
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
@@ -66,7 +74,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.marks = {c: self._plain(c) for c in ".,"}
+        self.letters: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith(self.WORD_END)]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -78,20 +90,39 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                self.letters.update((w, self._plain(w)) for w in some)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(some, (stops * 4).tolist()):
+                self.letters[w] = data[start:stop]
+                start = stop
+
     def _learn(self, parts: list[str]) -> None:
-        """ASCII stretches count in lower case, as the normalizer would have them, and without one point or comma after
-        a letter, where the pre-tokenizer cuts. Stretches that may hold an added token stay as they are."""
-        forms: dict[str, list[tuple[str, bytes]]] = {}
+        simple: list[tuple[str, str, str]] = []
+        other: list[str] = []
+        match = self._SIMPLE.fullmatch
         for p in parts:
-            q, tail = p, b""
-            if p.isascii() and "<|" not in p:
-                q = p.lower()
-                if len(q) > 1 and q[-1] in ".," and "a" <= q[-2] <= "z":
-                    q, tail = q[:-1], self.marks[q[-1]]
-            forms.setdefault(q, []).append((p, tail))
-        new = [q for q in forms if q not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+            found = match(p.lower())
+            if found:
+                simple.append((p, *found.groups()))
+            else:
+                other.append(p)
+        for tail in {t for _, _, t in simple} - self.tails.keys():
+            self.tails[tail] = self._plain(tail)
+        if len(self.letters) > self.LIMIT:
+            self.letters.clear()
+        self._learn_letters(sorted({w for _, w, _ in simple} - self.letters.keys()))
+        self.known.update((p, self.letters[w] + self.tails[t]) for p, w, t in simple)
+        if len(self.tails) > self.LIMIT // 10:
+            self.tails = {"": b""}
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
             encoding = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
@@ -103,12 +134,6 @@ class Encoder:
             data = ids.tobytes()
             for q, a, b in zip(some, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist()):
                 self.known[q] = data[a:b]
-        for q, each in forms.items():
-            ids = self.known[q]
-            for p, tail in each:
-                self.known[p] = ids + tail
-            if len(q) > self.LONG and all(p != q for p, _ in each):
-                del self.known[q]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") if t else () for t in texts]
@@ -177,7 +202,8 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
 
     ``out`` is a URI that every executor can write. The manifest (shard, path, docs, ids, start) is in
     the order of doc_id, nulls first, and ``start`` counts the ids of all shards before. Null and empty
-    texts hold the end id alone. Rows with equal doc_id are kept, in the order of their texts' ids.
+    texts hold the end id alone. Rows with equal doc_id are kept, in the order of a hash of their texts and then of their
+    ids; many of them, or many nulls, have shards of their own.
     A file is written under a name of its own and then renamed, so that a task may run again
     or twice. Other columns are ignored.
     """
@@ -190,22 +216,27 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder.of(tokenizer), _compressor(dictionary)
         for batch in batches:
+            at = 0
             for ids, texts in _pieces(batch):
                 raw = [x + tail for x in encoder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["doc_id", "n", "frame"])
+                spread = batch.column("spread").slice(at, len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), spread, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["doc_id", "spread", "n", "frame"])
 
     # Ranges come from doc_id alone: ranging the encoded rows would encode them twice.
-    count = docs.count()
-    shards = max(1, -(-count // shard_docs))
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
-    bounds = spark.createDataFrame([(cuts,)], "cuts array<long>")
-    # position of a doc_id among the cuts, by bisection in the plan's own sorted array
-    frames = docs.mapInArrow(encode, "doc_id long, n long, frame binary")
-    if cuts:
-        frames = frames.join(F.broadcast(bounds)).withColumn("shard", F.coalesce(_bisect(F.col("cuts"), F.col("doc_id"), len(cuts)), F.lit(0))).drop("cuts")
-    else:
-        frames = frames.withColumn("shard", F.lit(0))
-    placed = frames.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
+    rows, numbered = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    wanted = min(MAX_SHARDS, max(1, -(-numbered // shard_docs)))
+    met = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else []
+    cuts, parts = _ranges(met or [], -(-(rows - numbered) // shard_docs))
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(parts)]).tolist()
+    shards = first[-1]
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _bisect(F.col("cuts"), F.col("doc_id"), len(cuts)))
+    bounds = F.broadcast(spark.createDataFrame([(cuts, parts, first)], "cuts array<long>, parts array<long>, first array<long>"))
+    spread = F.pmod(F.xxhash64("text"), F.lit(_SPREAD))
+    frames = docs.withColumn("spread", spread).mapInArrow(encode, "doc_id long, spread long, n long, frame binary")
+    ranged = frames.join(bounds).withColumn("range", at)
+    shard = F.get("first", "range") + F.floor(F.col("spread") * F.get("parts", "range") / _SPREAD)
+    placed = ranged.select(shard.alias("shard"), "doc_id", "spread", "n", "frame").repartition(max(1, min(shards, rows)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "spread", "frame")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(out)
@@ -226,6 +257,23 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
 
+def _ranges(met: list[int], null_parts: int) -> tuple[list[int], list[int]]:
+    """Sorted cuts and the shards of each range: nulls first, then what is up to each cut and above the cut before, then the rest.
+
+    An id that is several cuts has so many rows that its range holds nothing else and has as many shards.
+    """
+    often = Counter(met)
+    cuts: list[int] = []
+    parts = [max(1, null_parts)]
+    for c in sorted(often):
+        if often[c] > 1 and (not cuts or cuts[-1] < c - 1):
+            cuts.append(c - 1)
+            parts.append(1)
+        cuts.append(c)
+        parts.append(often[c])
+    return cuts, [*parts, 1]
+
+
 def _bisect(cuts: F.Column, value: F.Column, n: int) -> F.Column:
     """How many of the n sorted cuts are below ``value``; log2(n) steps of built-in expressions."""
     low = F.lit(0)
@@ -312,7 +360,7 @@ def read_token_store(manifest: DataFrame, value: Callable[[bytes], object] | Non
                     values = pa.array(raw, pa.binary()) if value is None else pa.array([value(x) for x in raw])
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts[at : at + 500]), pa.array(n[at : at + 500]), values], ["doc_id", "start", "n_tokens", "value"])
 
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return spread.mapInArrow(read, f"doc_id long, start long, n_tokens long, value {kind}")
 
 
