@@ -2,7 +2,9 @@
 
 Element subtrees are hashed, the pages of a host that hold each hash are counted in Spark, and subtrees that recur
 across many pages of the host are deleted, along with elements that are boilerplate by tag, role, class or id. A page's
-``article`` or ``main`` element is its content: what recurs inside is quoted or copied text, not template, and stays.
+``article`` or ``main`` element is its content. A subtree inside is a template if it recurs on half of the host's pages,
+in contents that differ, and if the templates hold less than half of the page's content: quoted passages and copied
+articles, exact or edited, stay.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from .storage import materialize
 
 MIN_PAGES = 5
 MIN_SHARE = 0.05
+CONTENT_SHARE = 0.5  #: of a host's pages, for subtrees of content elements
 MAX_BROADCAST_ROWS = 200_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_VALUE = r"(?:\"[^\"<]*\"|'[^'<]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s\"'>][^\s>]*+)"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*+)((?:[^=>]++|=\s*+{_VALUE}?)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,24 +43,35 @@ _NAMES = re.compile(
 )
 
 
+#: whole class names that are no content inside of content either
+_INSIDE = re.compile(
+    r"(?:ads?|adverts?|advertisements?|adsense|adslot|ad[-_](?:slot|box|container|wrapper|unit|banner)|sponsored|promos?|comments?|commentlist|comments?[-_](?:list|area|section|thread|body|form|item)|disqus|disqus_thread|respond|replies|reply|"
+    r"share|sharing|share[-_]?(?:buttons?|bar|links?)|social|social[-_](?:share|links|media|buttons)|sharedaddy|related|related[-_](?:posts|articles|stories|links)|recommended|recommendations|newsletter|newsletter[-_]\w+|subscribe|"
+    r"cookies?[-_]?(?:notice|banner|consent)?|consent|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|popup|modal|overlay|widgets?|skip-link|login|signup)",
+    re.I,
+)
+
+
 def _boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     if tag in _DROP or tag == "header" and not in_content:
         return True
-    if not attributes or tag in ("html", "body", *_CONTENT):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    exact = in_content or tag == "article"
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMES.search(value) or name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        named = name in ("class", "id") and (any(map(_INSIDE.fullmatch, value.split())) if exact else _NAMES.search(value))
+        if named or name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
 class _Page:
-    """One pass over a page: blocks of text, and hashes of the subtrees outside of content elements."""
+    """One pass over a page: blocks of text (in content, text, in a template), and hashes of subtrees (hash, in content)."""
 
     def __init__(self, source: str, templates: frozenset[int] | None = None) -> None:
-        self.blocks: list[tuple[bool, str]] = []
-        self.subtrees: list[int] = []
+        self.blocks: list[tuple[bool, str, bool]] = []
+        self.subtrees: list[tuple[int, bool]] = []
         self.has_content = False
         self._text: list[str] = []
         #: (tag, position, blocks so far, drops, in content)
@@ -69,7 +84,7 @@ class _Page:
         if self._text:
             text = " ".join(html.unescape("".join(self._text)).split())
             if text:
-                self.blocks.append((self._content > 0, text))
+                self.blocks.append((self._content > 0, text, False))
             self._text = []
 
     def _pop(self, source: str, end: int) -> None:
@@ -80,12 +95,13 @@ class _Page:
             self._content -= 1
         if drops:
             self._dropping -= 1
-        if not self._content and not content and not self._dropping and not drops and tag in _BLOCK and tag not in ("html", "body"):
-            h = xxhash.xxh3_64_intdigest(source[start:end].encode("utf-8", "surrogatepass")) - (1 << 63)
+        if not content and not self._dropping and tag in _BLOCK and tag not in ("html", "body"):
+            inside = self._content > 0
+            h = xxhash.xxh3_64_intdigest(source[start:end].encode("utf-8", "surrogatepass"), int(inside)) - (1 << 63)
             if self._templates is None:
-                self.subtrees.append(h)
+                self.subtrees.append((h, inside))
             elif h in self._templates:
-                self.blocks[blocks:] = [b for b in self.blocks[blocks:] if b[0]]
+                self.blocks[blocks:] = [(c, t, c == inside or gone) for c, t, gone in self.blocks[blocks:]]
 
     def _close_to(self, names: tuple[str, ...], source: str, end: int) -> None:
         """Close the nearest open element of ``names`` within the scope, with all in it."""
@@ -152,25 +168,34 @@ class _Page:
             self._pop(source, len(source))
 
 
-def subtree_hashes(source: str | None) -> list[int]:
-    """Distinct hashes of the subtrees that could be templates: block elements outside of content and of known boilerplate."""
-    return list(dict.fromkeys(_Page(source).subtrees)) if source else []
+    def kept(self) -> list[str]:
+        own = [b for b in self.blocks if b[0] or not self.has_content]
+        if self.has_content and 2 * sum(len(t) for _, t, gone in own if gone) >= sum(len(t) for _, t, _ in own):
+            return [t for _, t, _ in own]
+        return [t for _, t, gone in own if not gone]
+
+
+def subtree_hashes(source: str | None) -> list[tuple[int, int]]:
+    """Distinct hashes of a page's block elements, with a hash of the page's content for those inside of it, else 0."""
+    if not source:
+        return []
+    page = _Page(source)
+    content = xxhash.xxh3_64_intdigest("\n".join(page.kept()).encode("utf-8", "surrogatepass")) >> 1 | 1
+    return [(h, content if inside else 0) for h, inside in dict.fromkeys(page.subtrees)]
 
 
 def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
     """Main text of a page: blocks in page order, joined by blank lines. Null and empty pages give an empty text.
 
     White space in a block is one space, character references are decoded. With an ``article`` or ``main`` element
-    only its blocks count; otherwise all blocks that aren't in boilerplate or in a subtree of ``templates``.
+    only its blocks count, otherwise all; blocks in boilerplate or in a subtree of ``templates`` don't.
     """
-    if not source:
-        return ""
-    page = _Page(source, templates)
-    return "\n\n".join(text for inside, text in page.blocks if inside or not page.has_content)
+    return "\n\n".join(_Page(source, templates).kept()) if source else ""
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that stand on at least ``min_pages`` pages and ``min_share`` of the pages of a host.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """(host, hash) of the subtrees that stand on at least ``min_pages`` pages and ``min_share`` of the pages of a host;
+    inside of content, on ``content_share`` of them and in two contents at least.
 
     Counts are over all pages, with partial sums before the shuffle. A host has at most 1 / min_share times the
     subtrees of an average page of them.
@@ -178,16 +203,19 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, contents = [], [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for h in (0, *subtree_hashes(source)):  # 0 counts the page
+                for h, content in ((0, 0), *subtree_hashes(source)):  # 0 counts the page
                     hosts.append(host)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                    contents.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["host", "hash", "content"])
 
-    counts = materialize(_with_host(pages).select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {int(min_pages)} or hash = 0"), "subtrees")
+    each = _with_host(pages).select("host", "html").mapInArrow(run, "host string, hash long, content long")
+    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+    counts = materialize(counted.where(f"n >= {int(min_pages)} and (high = 0 or low < high) or hash = 0"), "subtrees")
     of_host = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(of_host, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "hash")
+    return counts.where("hash <> 0").join(of_host, "host").where(F.col("n") >= F.when(F.col("high") > 0, content_share).otherwise(min_share) * F.col("pages")).select("host", "hash")
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
