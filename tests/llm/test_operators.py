@@ -380,6 +380,51 @@ def test_toxicity(spark, tables, empty):
     assert not any(r.toxic for r in toxicity.grade_documents(docs, toxicity.train(docs, labels.where("toxic = 0"))).collect())
 
 
+def test_toxicity_scores_by_brute_force(spark, data, edges):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert model.weights
+    for t in (spark.read.parquet(f"{data}/documents.parquet"), edges):
+        want = []
+        for i, text in rows_of(t):
+            words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(text)))
+            found = {w for w in words} | {f"{n}:{w[:n]}" for w in words for n in (4, 5) if len(w) > n}
+            hit = [model.weights[f.encode()] for f in found if f.encode() in model.weights]
+            p = [1 / (1 + np.exp(c - sum(hit))) for c in model.thresholds]
+            want.append((i, round(sum(p), 4), round(p[0], 4), len(hit), p[0] >= 0.5))
+        got = [(r.doc_id, round(r.severity, 4), round(r.p_toxic, 4), r.n_features, r.toxic) for r in toxicity.grade_documents(t, model).collect()]
+        key = lambda r: (r[0] is not None, r)
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert a[0] == b[0] and a[1:4] == pytest.approx(b[1:4], abs=2e-4) and a[4] == b[4]
+
+
+def test_ordinal_fit_is_a_minimum():
+    rng = np.random.default_rng(2)
+    rows = [sorted(set(rng.integers(0, 6, rng.integers(0, 4)).tolist())) for _ in range(300)]
+    grades = np.array([min(2, int(rng.random() < 0.2 + 0.2 * len(r)) + int(0 in r)) for r in rows])
+    w, cuts = toxicity.fit_ordinal(rows, grades, 6, steps=3000)
+
+    def loss(w, cuts):
+        s = np.array([w[r].sum() for r in rows])
+        each = [np.log1p(np.exp(-(s - c) * np.where(grades >= j + 1, 1, -1))).mean() for j, c in enumerate(cuts)]
+        return sum(each) + 5e-5 * (w**2).sum()
+
+    least = loss(w, cuts)
+    for k in range(6):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * (np.arange(6) == k), cuts) > least
+    for k in range(2):
+        for d in (-0.05, 0.05):
+            assert loss(w, cuts + d * (np.arange(2) == k)) > least
+
+
+def test_conflicting_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(k, "bad words here" if k % 2 else f"fine words {k}") for k in range(40)] + [(1, f"again {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(1, 0, 0), (3, 0, 1), (None, 1, 1), (5, 1, None)], "doc_id long, quality long, toxic long")
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n), max_train=40) for n in (1, 3))
+    assert one == two
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</ul></nav><header>site</header>
 <div class="ad">buy</div><div class=cookie-notice>we use</div><article><header><h1>Head &amp; line</h1></header><p><b>One<br><p>Two  <i>x</i>&nbsp;y &#233;<!-- no --><form>f</form><aside>s</aside>
 <div class="comments"><p>reader</div><ul><li>a<li>b</ul></article><footer>end</footer>"""

@@ -1,8 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 ``P(grade >= j) = sigmoid(w . x - t_j)`` with one weight vector for all grades and ascending thresholds t_j. Features are
-the presence of words and of the first four and five characters of longer words. Labels are binary; the grades above 0
-are thirds of the toxic training texts by how many of the selected features that speak for toxicity they hold.
+the presence of words and of the first four and five characters of longer words. Grades come from the labels alone: 0 is not toxic,
+1 toxic in a text of good (or unknown) quality, 2 toxic in one of poor quality. Of several labels of a document, or of equal texts, the worst counts.
+Only features that speak for toxicity are kept: with the presence of features that speak against it, long texts would
+gather evidence against by their length alone.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ MAX_TRAIN = 20_000  #: labelled documents that train the model, the lowest by ha
 MAX_FEATURES = 4_096
 MIN_TOXIC = 5  #: toxic training texts that a feature must be in
 MIN_SCORE = 4.0  #: of a feature's excess among toxic texts, in standard deviations
-GRADES = 3
+GRADES = 2
 CUT = 0.5
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -52,14 +54,16 @@ class OrdinalModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    quality = F.col("quality") if "quality" in labels.columns else F.lit(None)
+    grade = F.when(F.col("toxic") > 0, F.when(quality == 0, 2).otherwise(1)).otherwise(0)
+    each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     some = each.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train)
     # at most max_train pairs of numbers: a bound that holds for any input
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "grade")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> OrdinalModel:
-    """Fit the model on at most ``max_train`` labelled documents; equal texts count once.
+    """Fit the model on at most ``max_train`` labelled documents, whole texts of any length; equal texts count once.
 
     Features are counted over the sample in Spark, and the most telling are kept. Without any toxic label the model gives grade 0 to all.
     """
@@ -70,14 +74,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
             for text in batch.column("text").to_pylist():
                 found = {f for w in words_of(text) for f in word_features(w)}
                 rows.append(([*found], xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.binary()))], ["toxic", "id", "features"])
-
-    rows = materialize(_sample(docs, labels, max_train).mapInArrow(featurize, "toxic int, id long, features array<binary>").dropDuplicates(["id"]), "train")
-    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+            yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.binary()))], ["grade", "id", "features"])
+
+    each = _sample(docs, labels, max_train).mapInArrow(featurize, "grade int, id long, features array<binary>")
+    rows = materialize(each.groupBy("id").agg(F.max("grade").alias("grade"), F.first("features").alias("features")), "train")
+    n = rows.count()
+    if n > max_train:  # repeated ids with different texts
+        rows = rows.where(F.pmod("id", F.lit(n)) < max_train)
+    n, n1 = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
     if not n1 or n1 == n:
         return OrdinalModel({}, [30.0 if not n1 else -30.0] * GRADES)
     rate = n1 / n
-    counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("all")).where(F.col("pos") >= MIN_TOXIC)
+    counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("grade") > 0).alias("pos"), F.count(F.lit(1)).alias("all")).where(F.col("pos") >= MIN_TOXIC)
     scored = counts.withColumn("z", (F.col("pos") - rate * F.col("all")) / F.sqrt(rate * (1 - rate) * F.col("all"))).where(F.col("z") >= MIN_SCORE)
     chosen = sorted(bytes(r[0]) for r in scored.orderBy(F.desc("z"), "f").limit(MAX_FEATURES).select("f").collect())
     column = {f: k for k, f in enumerate(chosen)}
@@ -85,20 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = [sorted(column[f] for f in fs if f in column) for fs in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("id"), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "id", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("id"), pa.array(hits, pa.list_(pa.int32()))], ["grade", "id", "hits"])
 
-    data = sorted((r["id"], r["toxic"], list(r["hits"])) for r in rows.mapInArrow(narrow, "toxic int, id long, hits array<int>").collect())
-    weights, thresholds = fit_ordinal([d[2] for d in data], _grades([d[1] for d in data], [len(d[2]) for d in data]), len(chosen))
+    data = sorted((r["id"], r["grade"], list(r["hits"])) for r in rows.mapInArrow(narrow, "grade int, id long, hits array<int>").collect())
+    weights, thresholds = fit_ordinal([d[2] for d in data], np.array([d[1] for d in data]), len(chosen))
     return OrdinalModel({f: float(weights[k]) for f, k in column.items() if weights[k]}, [float(t) for t in thresholds])
 
 
-def _grades(toxic: list[int], hits: list[int]) -> np.ndarray:
-    """0 for other texts; 1 to GRADES for toxic ones, in equal parts by their hits."""
-    toxic_hits = np.sort([h for t, h in zip(toxic, hits) if t])
-    cuts = [toxic_hits[len(toxic_hits) * k // GRADES] for k in range(1, GRADES)]
-    return np.array([1 + int(np.searchsorted(cuts, h, "left")) if t else 0 for t, h in zip(toxic, hits)])
-
-
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of least regularised loss, summed over the grades' binary questions; full-batch Adam."""
     n = len(rows)
