@@ -12,6 +12,8 @@ from io import BytesIO
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vecspan.llm import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, lm_score, media, mixing, token_store, toxicity
 from vecspan.llm.license_rules import rules
 from vecspan.llm.queries import queries
@@ -423,6 +425,8 @@ def test_conflicting_and_repeated_labels(spark):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(1, 0, 0), (3, 0, 1), (None, 1, 1), (5, 1, None)], "doc_id long, quality long, toxic long")
     one, two = (toxicity.train(docs.repartition(n), labels.repartition(n), max_train=40) for n in (1, 3))
     assert one == two
+    graded = labels.withColumn("toxic", F.col("toxic") * 2)
+    assert len(toxicity.train(docs, graded).thresholds) == 2
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</ul></nav><header>site</header>

@@ -1,8 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 ``P(grade >= j) = sigmoid(w . x - t_j)`` with one weight vector for all grades and ascending thresholds t_j. Features are
-the presence of words and of the first four and five characters of longer words. Grades come from the labels alone: 0 is not toxic,
-1 toxic in a text of good (or unknown) quality, 2 toxic in one of poor quality. Of several labels of a document, or of equal texts, the worst counts.
+the presence of words and of the first four and five characters of longer words. Labels above 1 are grades as they are. Where
+all labels are 0 or 1, the toxic training texts are graded by models that don't know them: the texts are halved, each half's
+binary model scores the other half, and the thirds of these scores are the grades 1 to 3. Of several labels of a document, or
+of equal texts, the worst counts.
 Only features that speak for toxicity are kept: with the presence of features that speak against it, long texts would
 gather evidence against by their length alone.
 """
@@ -25,7 +27,8 @@ MAX_TRAIN = 20_000  #: labelled documents that train the model, the lowest by ha
 MAX_FEATURES = 4_096
 MIN_TOXIC = 5  #: toxic training texts that a feature must be in
 MIN_SCORE = 4.0  #: of a feature's excess among toxic texts, in standard deviations
-GRADES = 2
+GRADES = 3  #: that binary labels are spread over
+STEPS = 400
 CUT = 0.5
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -54,8 +57,7 @@ class OrdinalModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    quality = F.col("quality") if "quality" in labels.columns else F.lit(None)
-    grade = F.when(F.col("toxic") > 0, F.when(quality == 0, 2).otherwise(1)).otherwise(0)
+    grade = F.greatest(F.lit(0), F.col("toxic").cast("int"))
     each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     some = each.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train)
     # at most max_train pairs of numbers: a bound that holds for any input
@@ -96,19 +98,34 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
             yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("id"), pa.array(hits, pa.list_(pa.int32()))], ["grade", "id", "hits"])
 
     data = sorted((r["id"], r["grade"], list(r["hits"])) for r in rows.mapInArrow(narrow, "grade int, id long, hits array<int>").collect())
-    weights, thresholds = fit_ordinal([d[2] for d in data], np.array([d[1] for d in data]), len(chosen))
+    hits, grades = [d[2] for d in data], np.array([d[1] for d in data])
+    if grades.max() == 1:
+        grades = spread_grades(hits, grades, len(chosen))
+    weights, thresholds = fit_ordinal(hits, grades, len(chosen))
     return OrdinalModel({f: float(weights[k]) for f, k in column.items() if weights[k]}, [float(t) for t in thresholds])
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def spread_grades(rows: list[list[int]], toxic: np.ndarray, features: int) -> np.ndarray:
+    """0 for other texts; 1 to GRADES for toxic ones, in equal parts by the score that the other half's binary model gives."""
+    score = np.zeros(len(rows))
+    for half in (0, 1):
+        own = [r for k, r in enumerate(rows) if k % 2 == half]
+        w, _ = fit_ordinal(own, toxic[half::2], features) if len(own) else (np.zeros(features), None)
+        score[1 - half :: 2] = [w[r].sum() for r in rows[1 - half :: 2]]
+    ordered = np.sort(score[toxic > 0])
+    cuts = [ordered[len(ordered) * k // GRADES] for k in range(1, GRADES)]
+    return np.where(toxic > 0, 1 + np.searchsorted(cuts, score, "left"), 0)
+
+
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = STEPS, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of least regularised loss, summed over the grades' binary questions; full-batch Adam."""
-    n = len(rows)
+    n, most = len(rows), max(1, int(grades.max()))
     at = np.repeat(np.arange(n), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], np.int64)
     # thresholds stay ascending: the first, then logs of the gaps
-    theta = np.concatenate([np.zeros(features), [2.0], np.zeros(GRADES - 1)])
+    theta = np.concatenate([np.zeros(features), [2.0], np.zeros(most - 1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    above = grades[:, None] >= np.arange(1, GRADES + 1)[None, :]
+    above = grades[:, None] >= np.arange(1, most + 1)[None, :]
     for step in range(1, steps + 1):
         w, gaps = theta[:features], np.exp(theta[features + 1 :])
         cuts = theta[features] + np.concatenate([[0.0], np.cumsum(gaps)])
@@ -116,7 +133,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps:
         p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -30, 30)))
         error = (p - above) / n
         down = -error.sum(0)
-        g = np.concatenate([np.bincount(col, error.sum(1)[at], features) + l2 * w if len(col) else l2 * w, [down.sum()], [down[k + 1 :].sum() * gaps[k] for k in range(GRADES - 1)]])
+        g = np.concatenate([np.bincount(col, error.sum(1)[at], features) + l2 * w if len(col) else l2 * w, [down.sum()], [down[k + 1 :].sum() * gaps[k] for k in range(most - 1)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return theta[:features], theta[features] + np.concatenate([[0.0], np.cumsum(np.exp(theta[features + 1 :]))])
@@ -152,7 +169,7 @@ class Scorer:
 def grade_documents(docs: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, severity, grade, p_toxic, n_features, toxic.
 
-    ``severity`` is the expected grade (0 to GRADES), ``grade`` the most likely one, ``p_toxic`` is P(grade >= 1), and ``toxic`` says
+    ``severity`` is the expected grade (0 to the highest), ``grade`` the most likely one, ``p_toxic`` is P(grade >= 1), and ``toxic`` says
     whether that is at least ``cut``. Null and empty texts have no features, so the base rate's grade. Repeated rows
     are graded alike; other columns are ignored.
     """
