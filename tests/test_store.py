@@ -1,15 +1,16 @@
+import io
 import json
 import math
 
 import numpy as np
 import pytest
 
-from vecspan.operators import cli, embed, evaluate, rag
+from vecspan.operators import cli, embed, evaluate, rag, search
 from vecspan.operators.prep import chunk_documents
-from vecspan.operators.search import top_k_batch
+from vecspan.operators.search import top_k, top_k_batch
 from vecspan.operators.store import VectorStore
 from vecspan.schema import StoreError, StoreFinalizedError
-from vecspan.sources.json_dir import read_json_dir
+from vecspan.sources.json_dir import array_elements, read_json_dir
 from vecspan.sources.sinks import write_json_arrays
 from vecspan.streaming.ingest import ingest_stream
 
@@ -83,10 +84,49 @@ def test_ingest_edges(spark, tmp_path):
     rows = valid.collect()
     assert [r.id for r in rows] == [good["id"]] * 2
     assert json.loads(rows[0].metadata_json)["nested"] == {"a": [1]}
+    streamed = [df.collect() for df in read_json_dir(spark, str(tmp_path), 3, large=0)]
+    assert [r.id for r in streamed[0]] == [good["id"]] * 2 and all(json.loads(r.metadata_json)["nested"] == {"a": [1]} for r in streamed[0])
     reasons = sorted(r.reason for r in rejected.collect())
+    assert sorted(r.reason for r in streamed[1]) == reasons
     assert reasons == sorted(["bad_id", "not_object", "bad_id", "wrong_dim", "bad_embedding", "bad_embedding", "bad_embedding", "non_finite", "parse_error"])
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+def test_array_elements(chunk):
+    good = [[], [1], ["a", "b,]\"\\", {"k": [1, {"x": "}"}]}], [None, True, -1.5e3, ["[", [[]]], {}], {"a": [1]}, 5, "x"]
+    for value in good:
+        for text in (json.dumps(value), " \n" + json.dumps(value, indent=1) + " "):
+            got = [json.loads(e) for e in array_elements(io.BytesIO(text.encode()).read, chunk)]
+            assert got == (value if isinstance(value, list) else [value])
+    for text in ("", "[", "[1", "[1,]", "[,1]", "[1}", "[1] 2", "[{]", "[1 2]", '["a]', "nul", "[NaN]"):
+        with pytest.raises(ValueError):
+            list(array_elements(io.BytesIO(text.encode()).read, chunk))
+
+
+def test_capacity(spark):
+    s = VectorStore(spark, 2, max_docs=2)
+    s.add_documents(spark.createDataFrame([(str(k), "t", "{}", [1.0, float(k)]) for k in range(3)], "id string, text string, metadata_json string, embedding array<double>"))
+    with pytest.raises(StoreError):
+        s.finalize()
+    assert not s.is_finalized and s.size() == 3
+
+
+def test_batch_with_missing_and_ragged_vectors(spark):
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [9.0, 9.0, 9.0]), ("d", [2.0]), ("e", [1.0, 0.0]), ("f", [None, 1.0])], "id string, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [1.0]), (4, [0.0] * 5)], "qid int, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k_batch(docs, q, 2).collect())
+    assert got == [(1, 1, "a", 1.0), (1, 2, "e", 1.0), (3, 1, "d", 2.0)]
+    assert top_k_batch(docs, q.where("false"), 2).count() == top_k_batch(docs.where("false"), q, 2).count() == 0
+
+
+def test_large_k(spark, monkeypatch):
+    rows = [(f"i{k:03d}", "t", [float(k // 2), 0.0]) for k in range(100)]
+    docs = spark.createDataFrame(rows, "id string, text string, embedding array<double>").repartition(3)
+    want = [r.id for r in top_k(docs, [1.0, 0.0], 30).collect()]
+    monkeypatch.setattr(search, "LARGE_K", 10)
+    assert [r.id for r in top_k(docs, [1.0, 0.0], 30).collect()] == want
+
+
 def test_near_zero_vectors(spark):
     s = VectorStore(spark, 64)
     for i, x in (("zero", 0.0), ("tiny", 1e-7), ("small", 1e-4)):
@@ -137,7 +177,7 @@ def test_embedding_failures(spark):
         raise RuntimeError
 
     df = spark.createDataFrame([("a",), (None,)], "text string")
-    assert [r.embedding for r in embed.embed_column(df, "text", broken).collect()] == [None, None]
+    assert [r.embedding for r in embed.embed_column(df, "text", broken, wait=0.01).collect()] == [None, None]
     assert len(embed.embed_column(df, "text", embed.with_fallback(broken)).first().embedding) == 1536
 
 
@@ -146,8 +186,10 @@ def test_chunks_and_sink(spark, tmp_path):
     rows = chunk_documents(docs, "id", 10).collect()
     assert all(r.position == r.id and r.chunk == r.id // 10 for r in rows) and len(rows) == 25
     write_json_arrays(docs, str(tmp_path / "out"), "id", 10)
-    sizes = sorted(len(json.loads(p.read_text())) for p in (tmp_path / "out").rglob("*.txt"))
-    assert sizes == [5, 10, 10]
+    sizes = {p.name: len(json.loads(p.read_text())) for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
+    assert sizes == {"part_0000.json": 10, "part_0001.json": 10, "part_0002.json": 5}
+    same = spark.createDataFrame([(1, k) for k in range(40)], "a int, b int").repartition(4)
+    assert sorted(r.position for r in chunk_documents(same, "a", 10).collect()) == list(range(40))
 
 
 def test_timings(spark):

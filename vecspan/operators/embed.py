@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -45,10 +46,11 @@ def with_fallback(embed: Embed | None, fallback: Embed = demo_embed) -> Embed:
     return run
 
 
-def embed_column(df: DataFrame, text: str, embed: Embed = demo_embed, out: str = "embedding", batch: int = BATCH, retries: int = 2) -> DataFrame:
+def embed_column(df: DataFrame, text: str, embed: Embed = demo_embed, out: str = "embedding", batch: int = BATCH, retries: int = 2, wait: float = 0.0) -> DataFrame:
     """Add ``out``: the embedding of column ``text``, null where the text is null or the function keeps failing on its batch.
 
-    The function gets ``batch`` texts at a time, in the tasks that hold them; a failed call is tried again.
+    The function gets ``batch`` texts at a time, in the tasks that hold them; a failed call is tried again after ``wait`` seconds, and twice as
+    many each further time (a limited service needs a minute or so).
     """
     names = df.columns
 
@@ -67,6 +69,7 @@ def embed_column(df: DataFrame, text: str, embed: Embed = demo_embed, out: str =
                     except Exception:
                         if attempt == retries:
                             break
+                        time.sleep(wait * 2**attempt)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -78,7 +81,7 @@ def _first_text(*names: str) -> Column:
 
 
 def prepare_corpus(raw: DataFrame, text_limit: int = 1000) -> DataFrame:
-    """What embedding a raw corpus (source_file, position, id, text, content, title) works on, before any vector.
+    """What embedding a raw corpus (source_file, position, id, text, content, title, meta as JSON if it has it) works on, before any vector.
 
     ``to_embed`` is the text, or else the content, with the title on a line before it; rows with neither go. The id is
     the row's own or doc_<base name>_<position>; the stored text is cut to ``text_limit`` characters and ``original_length`` says what it was.
@@ -91,12 +94,20 @@ def prepare_corpus(raw: DataFrame, text_limit: int = 1000) -> DataFrame:
         F.substring(whole, 1, text_limit).alias("text"),
         whole.alias("to_embed"),
         F.char_length(whole).cast("long").alias("original_length"),
+        *(["meta"] if "meta" in raw.columns else []),
     )
 
 
 def embed_corpus(raw: DataFrame, embed: Embed = demo_embed) -> DataFrame:
-    """(id, text, embedding, original_length) of a raw corpus; what can't be embedded goes."""
-    return embed_column(prepare_corpus(raw), "to_embed", embed).where("embedding IS NOT NULL").drop("to_embed")
+    """(id, text, embedding, original_length, metadata_json) of a raw corpus; what can't be embedded goes.
+
+    The metadata are one JSON object: embedding, then the members of ``meta`` if that is an object, then original_length.
+    """
+    rows = embed_column(prepare_corpus(raw), "to_embed", embed).where("embedding IS NOT NULL").drop("to_embed")
+    meta = F.col("meta") if "meta" in raw.columns else F.lit(None).cast("string")
+    members = F.regexp_extract(F.trim(meta), r"(?s)^\{\s*(.*\S)\s*\}$", 1)
+    whole = F.concat(F.lit('{"embedding":'), F.to_json("embedding"), F.lit(","), F.when(F.coalesce(members, F.lit("")) != "", F.concat(members, F.lit(","))).otherwise(""), F.lit('"original_length":'), F.col("original_length"), F.lit("}"))
+    return rows.withColumn("metadata_json", whole).drop("meta")
 
 
 def number_documents(raw: DataFrame) -> DataFrame:
@@ -119,6 +130,18 @@ def embed_numbered(raw: DataFrame, embed: Embed = demo_embed, model: str = "demo
     return rows.withColumn("metadata", F.when(F.col("embedding").isNotNull(), metadata)).drop("_body", "embedding")
 
 
+def embed_file(raw: DataFrame, embed: Embed = demo_embed, model: str = "demo") -> DataFrame:
+    """A raw corpus of one file, each document with a text under the id doc_<position> and with metadata as in ``embed_numbered``.
+
+    Documents without a text, or whose embedding fails, stay as they are, with null metadata. Content is no text here.
+    """
+    rows = embed_column(raw.withColumn("_body", F.nullif("text", F.lit(""))), "_body", embed, batch=1)
+    done = F.col("embedding").isNotNull()
+    metadata = F.struct("embedding", F.lit(model).alias("embedding_model"), F.size("embedding").alias("embedding_dim"), F.col("meta").alias("original_meta"))
+    named = F.when(done, F.concat(F.lit("doc_"), F.col("position").cast("string"))).otherwise(F.col("id"))
+    return rows.withColumn("id", named).withColumn("metadata", F.when(done, metadata)).drop("_body", "embedding")
+
+
 def embed_missing(docs: DataFrame, embed: Embed = demo_embed) -> DataFrame:
     """Embed the rows (source_file, position, id, text, content, embedding) that have none and whose text isn't blank; the rest stays as it is."""
     body = F.coalesce("text", "content")

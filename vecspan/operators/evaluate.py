@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,8 @@ def metadata_value(path: str, column: str = "metadata_json") -> Column:
     return F.get_json_object(column, f"$.{path}")
 
 
-def random_unit_vectors(df: DataFrame, dim: int, seed: int, out: str = "embedding") -> DataFrame:
-    """Add normally distributed vectors of length 1; the same for the same partitions and seed."""
-    return df.withColumn(out, F.array(*[F.randn(seed + k) for k in range(dim)])).withColumn(out, normalize(F.col(out)).cast("array<float>"))
+def random_unit_vectors(df: DataFrame, dim: int, seed: int, key: str, out: str = "embedding") -> DataFrame:
+    """Add normally distributed vectors of length 1 that depend on ``key`` and ``seed`` alone."""
+    uniform = lambda k, part: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), k, F.lit(part)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
+    normal = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(2 * math.pi * uniform(k, 1)))
+    return df.withColumn(out, normal).withColumn(out, normalize(F.col(out)).cast("array<float>"))

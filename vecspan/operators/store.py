@@ -81,17 +81,19 @@ class VectorStore:
             return {"success": False, "error": str(e)}
 
     def finalize(self) -> None:
-        """Normalize all embeddings and serve; a second call does nothing."""
+        """Normalize all embeddings and serve; a second call does nothing. More documents than ``max_docs`` are an error, and none is dropped."""
         if self.is_finalized:
             return
         table = self.spark.createDataFrame(self._buffer, DOCUMENT)
         for t in self._tables:
             table = table.unionByName(t)
-        if self.max_docs is not None:
-            table = table.limit(self.max_docs)
         served = table.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
-        self._served = served.persist(StorageLevel.MEMORY_AND_DISK)
-        self._count = self._served.count()
+        served = served.persist(StorageLevel.MEMORY_AND_DISK)
+        count = served.count()
+        if self.max_docs is not None and count > self.max_docs:
+            served.unpersist()
+            raise StoreError(f"capacity: {count} documents, {self.max_docs} allowed")
+        self._served, self._count = served, count
         self._buffer, self._tables = [], []
 
     normalize = finalize

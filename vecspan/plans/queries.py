@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,7 +15,9 @@ from ..functions import vectors as V
 from ..operators import embed, evaluate, prep, rag
 from ..operators.search import normalized, top_k, top_k_batch
 from ..operators.store import VectorStore
+from ..shared import shared_place
 from ..sources.json_dir import read_json_dir
+from ..sources.sinks import write_json_arrays, write_json_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,9 +179,10 @@ def rag_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a raw corpus: odd ones have their text as content, every tenth neither; files by source."""
-    d = _read(spark, sf_dir, "documents")
-    body = F.when(F.col("doc_id") % 10 != 9, F.col("text"))
+    """Documents as a raw corpus: odd ones have their text as content; files by source. Two rows without any text are added."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = d.union(spark.createDataFrame([(-1, None, "en", "none"), (-2, "", "en", "none")], "doc_id long, text string, lang string, source string"))
+    body = F.col("text")
     return d.select(
         F.concat(F.lit("/in/"), "source", F.lit(".json")).alias("source_file"),
         F.col("doc_id").alias("position"),
@@ -194,16 +194,20 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BODY = "CASE WHEN doc_id % 10 <> 9 THEN nullif(text, '') END"
+_BODY = "nullif(text, '')"
+_DOCS = "(SELECT doc_id, text, lang, source FROM documents UNION ALL SELECT -1, NULL, 'en', 'none' UNION ALL SELECT -2, '', 'en', 'none')"
 
 
 @_query(f"""SELECT CASE WHEN doc_id % 4 = 0 THEN 'own-' || doc_id ELSE 'doc_' || source || '_' || doc_id END AS id, substring(w, 1, 1000) AS text, CAST(length(w) AS BIGINT) AS original_length
-    FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) ELSE '' END || {_BODY} AS w FROM documents) WHERE w IS NOT NULL""")
+    FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) ELSE '' END || {_BODY} AS w FROM {_DOCS}) WHERE w IS NOT NULL""")
 def corpus_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.prepare_corpus(_raw(spark, sf_dir)).drop("to_embed")
+    return embed.prepare_corpus(_raw(spark, sf_dir)).drop("to_embed", "meta")
 
 
-@_query("SELECT doc_id AS position, 'doc_' || (dense_rank() OVER (ORDER BY '/in/' || source || '.json') - 1) || '_' || doc_id AS id FROM documents")
+_NUMBERED = "'doc_' || (dense_rank() OVER (ORDER BY '/in/' || source || '.json') - 1) || '_' || doc_id"
+
+
+@_query(f"SELECT doc_id AS position, {_NUMBERED} AS id FROM {_DOCS}")
 def corpus_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.number_documents(_raw(spark, sf_dir)).select("position", "id")
 
@@ -213,15 +217,33 @@ def _length_embed(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count("a"))] for t in texts]
 
 
-@_query(f"""SELECT CASE WHEN doc_id % 4 = 0 THEN 'own-' || doc_id ELSE 'doc_' || source || '_' || doc_id END AS id, CAST(length(w) AS DOUBLE) AS chars, CAST(length(w) - length(replace(w, 'a', '')) AS DOUBLE) AS letters
-    FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) ELSE '' END || {_BODY} AS w FROM documents) WHERE w IS NOT NULL""")
+@_query(f"""SELECT CASE WHEN doc_id % 4 = 0 THEN 'own-' || doc_id ELSE 'doc_' || source || '_' || doc_id END AS id, CAST(length(w) AS DOUBLE) AS chars, CAST(length(w) - length(replace(w, 'a', '')) AS DOUBLE) AS letters,
+    source AS filename, CAST(length(w) AS BIGINT) AS original_length FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) ELSE '' END || {_BODY} AS w FROM {_DOCS}) WHERE w IS NOT NULL""")
 def corpus_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embed.embed_corpus(_raw(spark, sf_dir), _length_embed)
-    return e.select("id", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("letters"))
+    of = lambda path, kind: evaluate.metadata_value(path).cast(kind)
+    return e.select("id", of("embedding[0]", "double").alias("chars"), of("embedding[1]", "double").alias("letters"), of("meta.origin.filename", "string").alias("filename"), of("original_length", "long").alias("original_length"))
+
+
+_META = "metadata.original_meta"
+
+
+@_query(f"""SELECT doc_id AS position, {_NUMBERED} AS id, CASE WHEN {_BODY} IS NOT NULL THEN 'demo' END AS model, CAST(CASE WHEN {_BODY} IS NOT NULL THEN 2 END AS INTEGER) AS dim, CAST(length({_BODY}) AS DOUBLE) AS chars,
+    CASE WHEN {_BODY} IS NOT NULL THEN source END AS filename FROM {_DOCS}""")
+def corpus_embed_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embed.embed_numbered(_raw(spark, sf_dir), _length_embed)
+    return e.select("position", "id", F.col("metadata.embedding_model").alias("model"), F.col("metadata.embedding_dim").alias("dim"), F.get("metadata.embedding", F.lit(0)).cast("double").alias("chars"), evaluate.metadata_value("meta.origin.filename", _META).alias("filename"))
+
+
+@_query(f"""SELECT doc_id AS position, CASE WHEN t IS NOT NULL THEN 'doc_' || doc_id WHEN doc_id % 4 = 0 THEN 'own-' || doc_id END AS id, CAST(length(t) AS DOUBLE) AS chars, CASE WHEN t IS NOT NULL THEN source END AS filename
+    FROM (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN {_BODY} END AS t FROM {_DOCS})""")
+def corpus_embed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embed.embed_file(_raw(spark, sf_dir), _length_embed)
+    return e.select("position", "id", F.get("metadata.embedding", F.lit(0)).cast("double").alias("chars"), evaluate.metadata_value("meta.origin.filename", _META).alias("filename"))
 
 
 @_query(f"""SELECT coalesce(CASE WHEN doc_id % 4 = 0 THEN 'own-' || doc_id END, source || '_' || doc_id) AS id,
-    CASE WHEN doc_id % 5 = 0 THEN -1.0::DOUBLE WHEN doc_id % 2 = 0 AND trim(coalesce({_BODY}, '')) <> '' THEN length(text)::DOUBLE END AS chars FROM documents""")
+    CASE WHEN doc_id % 5 = 0 THEN -1.0::DOUBLE WHEN doc_id % 2 = 0 AND trim(coalesce({_BODY}, '')) <> '' THEN length(text)::DOUBLE END AS chars FROM {_DOCS}""")
 def corpus_embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir).withColumn("embedding", F.when(F.col("position") % 5 == 0, F.array(F.lit(-1.0), F.lit(-1.0)).cast("array<float>")))
     return embed.embed_missing(rows, _length_embed).select("id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
@@ -257,29 +279,23 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.join(rates, "event_type")
 
 
-@_query("SELECT doc_id AS position, source AS filename FROM documents")
+@_query(f"SELECT doc_id AS position, source AS filename FROM {_DOCS}")
 def metadata_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("position", evaluate.metadata_value("meta.origin.filename", "meta").alias("filename"))
 
 
-@_query()
-def demo_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "benchmark")
-    e = embed.embed_column(items, "text", embed.with_fallback(None))
-    return e.select("item_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"))
+_NEXT = "CAST(CAST(h AS DOUBLE) * 1103515245.0::DOUBLE + 12345.0::DOUBLE AS BIGINT) & 2147483647"
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+_LAST = f"list_reduce(list_prepend(h, list_transform(range(0, {embed.DEMO_DIM}), lambda x: x::BIGINT)), lambda h, k: {_NEXT})"
 
 
-def _shared_place(spark: SparkSession) -> str:
-    """A new folder, as a URI, that all executors share; on this machine if the master is local and none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not named:
-        place = tempfile.TemporaryDirectory(prefix="vecspan-in-")
-        atexit.register(place.cleanup)
-        named = place.name
-    uri = named if "://" in named else f"file://{named.removeprefix('file:')}"
-    return f"{uri.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+@_query(f"""SELECT item_id, CAST({embed.DEMO_DIM} AS INTEGER) AS dim, round(({_NEXT})::DOUBLE / 2147483647 * 2 - 1, 6) AS first, round(({_LAST})::DOUBLE / 2147483647 * 2 - 1, 6) AS last
+    FROM (SELECT item_id, CASE WHEN text = '' THEN 0 ELSE {_HASH} END AS h FROM benchmark)""")
+def demo_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "benchmark")
+    e = embed.embed_column(items, "text", embed.with_fallback(None)).select("item_id", "embedding")
+    number = lambda k: F.round(F.get("embedding", F.lit(k)).cast("double"), 6)
+    return e.select("item_id", F.size("embedding").alias("dim"), number(0).alias("first"), number(embed.DEMO_DIM - 1).alias("last"))
 
 
 def _write_arrays(docs: DataFrame, place: str, file_docs: int = 500) -> None:
@@ -287,7 +303,7 @@ def _write_arrays(docs: DataFrame, place: str, file_docs: int = 500) -> None:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(place)
-        system.create_dir(root)
+        system.create_dir(root, recursive=True)
         task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, file_docs):
@@ -299,10 +315,9 @@ def _write_arrays(docs: DataFrame, place: str, file_docs: int = 500) -> None:
     docs.mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
-@_query()
-def ingest_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directory with the whole table and some broken and mistyped documents: what is kept, and why the rest isn't."""
-    place = _shared_place(spark)
+def _directory(spark: SparkSession, sf_dir: str) -> str:
+    """A directory with the whole table of vectors, in files of an array each, and some single, broken and mistyped documents."""
+    place = shared_place(spark, "ingest")
     vectors = _vectors(spark, sf_dir)
     metadata = F.struct("embedding", F.struct(F.lit(1).alias("n")).alias("k")).alias("metadata")
     name = F.col("vec_id").cast("string")
@@ -311,15 +326,185 @@ def ingest_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = len(vector)
     doc = lambda i, e: {"id": i, "text": f"text {i}", "metadata": {"embedding": e, "k": {"n": 1}}}
     extra = {
-        "many.json": json.dumps([{**doc("0", vector), "id": 7}, "junk", doc("short", [1.0]), doc("typed", ["1"] * dim)]),
+        "many.json": json.dumps([{**doc("0", vector), "id": 7}, "junk", doc("short", [1.0]), doc("typed", ["1"] * dim), {**doc("0", vector), "text": None}, {"id": "x", "text": "y", "metadata": []}]),
         "one.json": "  " + json.dumps(dict(reversed(doc("0", vector).items()))),
         "broken.json": '[{"id": "x", ',
         "OTHER.JSON": json.dumps([doc("0", vector)]),
+        "long.json": json.dumps([{"id": "long", "text": "x" * 200_000 + '"[]{}', "metadata": {"embedding": vector}}, "junk", 5]),
+        "long_broken.json": "[" + json.dumps({"id": "long", "text": "x" * 200_000}) + ", {]",
     }
     system, root = fs.FileSystem.from_uri(place)
-    system.create_dir(root)
+    system.create_dir(root, recursive=True)
     for file, text in extra.items():
         with system.open_output_stream(f"{root}/{file}") as f:
             f.write(text.encode())
-    valid, rejected = read_json_dir(spark, place, dim)
-    return valid.select("id", F.lit(None).cast("string").alias("reason")).union(rejected.select(F.lit(None).cast("string"), "reason"))
+    return place
+
+
+_REJECTED = ["bad_id", "not_object", "wrong_dim", "bad_embedding", "bad_text", "bad_metadata", "parse_error", "not_object", "not_object", "parse_error"]
+_NOTHING = "NULL::VARCHAR AS id, NULL::BIGINT AS chars, NULL::BIGINT AS n, NULL::DOUBLE AS total"
+
+
+@_query(f"""SELECT CAST(vec_id AS VARCHAR) AS id, CAST(length('text ' || vec_id) AS BIGINT) AS chars, 1::BIGINT AS n, round(list_sum({_D}), 4) AS total, NULL::VARCHAR AS reason FROM embeddings
+    UNION ALL SELECT '0', 6, 1, round(list_sum({_Q}), 4), NULL UNION ALL SELECT 'long', 200005, NULL, round(list_sum({_Q}), 4), NULL
+    UNION ALL SELECT {_NOTHING}, reason FROM (VALUES {", ".join(f"('{r}')" for r in _REJECTED)}) t(reason)""")
+def ingest_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of a directory, and why the rest isn't; files above 100,000 bytes are cut as they are read."""
+    valid, rejected = read_json_dir(spark, _directory(spark, sf_dir), len(_first(spark, sf_dir)), 100_000)
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    kept = valid.select("id", F.char_length("text").cast("long").alias("chars"), evaluate.metadata_value("k.n").cast("long").alias("n"), total.alias("total"), F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(t) for t in ("string", "long", "long", "double")]
+    return kept.union(rejected.select(*none, "reason"))
+
+
+_LOADED = "(SELECT count(*) + 2 FROM embeddings)"
+
+
+@_query(" UNION ALL ".join(f"SELECT '{m}' AS method, true AS success, {_LOADED} AS documents, 1.0::DOUBLE AS best" for m in ("load_dir", "load_dir_mmap", "load_dir_adaptive", "load_timed")))
+def store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loaders, each on the same directory; ``best`` is the score of the first vector's own document."""
+    place, first = _directory(spark, sf_dir), _first(spark, sf_dir)
+    rows = []
+    for method in ("load_dir", "load_dir_mmap", "load_dir_adaptive", "load_timed"):
+        store = VectorStore(spark, len(first))
+        said = getattr(store, method)(place) or {}
+        best = store.search(first, 1).first()
+        rows.append((method, store.is_finalized and said.get("success", True), store.size(), round(best.score, 4)))
+        store.unpersist()
+    return spark.createDataFrame(rows, "method string, success boolean, documents long, best double")
+
+
+_FEW = [("a", [3.0, 4.0, 0.0]), ("b", [0.0, 2.0, 0.0]), ("c", [1.0, 1.0, 1.0]), ("a", [0.0, 0.0, -5.0])]
+_FEW_SQL = "(VALUES " + ", ".join(f"('{i}', 'text of {i}', {v}::DOUBLE[])" for i, v in _FEW) + ") t(id, text, v)"
+
+
+@_query(f"""SELECT id, text, round(list_dot_product(v, [3.0, 4.0, 0.0]::DOUBLE[]) / sqrt(list_dot_product(v, v)) / 5, 6) AS score FROM {_FEW_SQL} ORDER BY score DESC, id, text LIMIT 3""")
+def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added one by one, then normalized and searched; ids repeat."""
+    store = VectorStore(spark, 3)
+    for i, v in _FEW:
+        store.add_document({"id": i, "text": f"text of {i}", "metadata": {"embedding": v}})
+    store.normalize()
+    return _rounded(store.search([3.0, 4.0, 0.0], 3)).select("id", "text", "score")
+
+
+def _loading(spark: SparkSession, sf_dir: str, most: int | None = None) -> VectorStore:
+    """A store with the whole table, not finalized."""
+    store = VectorStore(spark, len(_first(spark, sf_dir)), most)
+    store.add_documents(_vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.lit("t").alias("text"), F.lit("{}").alias("metadata_json"), "embedding"))
+    return store
+
+
+def _error(call: Callable[[], object]) -> str | None:
+    try:
+        call()
+    except Exception as e:
+        return type(e).__name__
+    return None
+
+
+@_query("""SELECT step, finalized, CAST(n AS BIGINT) AS documents, CAST(found AS BIGINT) AS found, error FROM (SELECT count(*) AS n, least(count(*), 7) AS k FROM embeddings), LATERAL (VALUES
+    ('loading', false, 0, NULL), ('one short', false, 0, 'StoreError'), ('finalized', true, k, NULL), ('again', true, k, NULL), ('added', true, k, 'StoreFinalizedError')) t(step, finalized, found, error)""")
+def store_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, finalize, serve: what each phase lets through."""
+    store, first = _loading(spark, sf_dir), _first(spark, sf_dir)
+    state = lambda step, error=None: (step, store.is_finalized, store.size(), store.search(first, 7).count(), error)
+    rows = [state("loading"), state("one short", _error(lambda: store.add_document({"id": "x", "text": "y", "metadata": {"embedding": first[1:]}})))]
+    store.finalize()
+    rows.append(state("finalized"))
+    store.normalize()
+    rows += [state("again"), state("added", _error(lambda: store.add_document({"id": "x", "text": "y", "metadata": {"embedding": first}})))]
+    store.unpersist()
+    return spark.createDataFrame(rows, "step string, finalized boolean, documents long, found long, error string")
+
+
+@_query("""SELECT allowed, CASE WHEN allowed < n THEN 'StoreError' END AS error, CASE WHEN allowed < n THEN false ELSE true END AS finalized FROM (SELECT count(*) AS n FROM embeddings), LATERAL (VALUES (n - 1), (n), (n + 1)) t(allowed)""")
+def store_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More documents than allowed are an error; nothing is dropped."""
+    n = _vectors(spark, sf_dir).count()
+    rows = []
+    for most in (n - 1, n, n + 1):
+        store = _loading(spark, sf_dir, most)
+        rows.append((most, _error(store.finalize), store.is_finalized))
+        store.unpersist()
+    return spark.createDataFrame(rows, "allowed long, error string, finalized boolean")
+
+
+@_query(f"""SELECT CAST(e.vec_id AS VARCHAR) AS id, coalesce(d.text, '') AS text, round(list_dot_product(v, v), 4) AS norm2 FROM ({_PLAIN_UNIT}) e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id = 7""")
+def store_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _store(spark, sf_dir).get_entry("7")
+    return found.select("id", "text", F.round(V.squared_length(F.col("embedding")), 4).alias("norm2"))
+
+
+@_query(f"""WITH n AS (SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings)
+    SELECT request, answer FROM n, (SELECT count(*) AS hits FROM ({_top(_PLAIN_UNIT, _UNIT_Q, 9)}) WHERE s >= 0.2), LATERAL (VALUES ('vector_search', 'count ' || hits), ('wrong_dim', 'error'), ('get_stats', n || ' of ' || dim || ' true'), ('add_late', 'error'),
+    ('add_empty', 'error'), ('unknown', 'unknown method: nothing'), ('cpp://status', 'Documents loaded: ' || n), ('cpp://stats', CAST(n AS VARCHAR)), ('cpp://none', 'StoreError'), ('unloaded', 'error'), ('added', 'true new'), ('load_again', 'true ' || n)) t(request, answer)""")
+def rag_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to a store that serves the whole table, and to one that is empty."""
+    first = _first(spark, sf_dir)
+    store = _store(spark, sf_dir)
+    r, empty = rag.Retrieval(store, lambda text: first), rag.Retrieval(VectorStore(spark, 3), lambda text: first)
+    new = {"id": "new", "text": "t", "metadata": {"embedding": [1.0, 2.0, 3.0]}}
+    stats = r.handle("get_stats")
+    added = empty.handle("add_document", {"document": new})
+    loaded = r.handle("load_documents", {"path": "/nowhere"})
+    failed = lambda a: "error" if set(a) == {"error"} else str(a)
+    rows = [
+        ("vector_search", f"count {r.handle('vector_search', {'embedding': first, 'k': 9, 'threshold': 0.2})['count']}"),
+        ("wrong_dim", failed(r.handle("vector_search", {"embedding": first[1:]}))),
+        ("get_stats", f"{stats['documentCount']} of {stats['dimensions']} {str(stats['isLoaded']).lower()}"),
+        ("add_late", failed(r.handle("add_document", {"document": {**new, "metadata": {"embedding": first}}}))),
+        ("add_empty", failed(empty.handle("add_document", {"document": {**new, "text": ""}}))),
+        ("unknown", r.handle("nothing")["error"]),
+        ("cpp://status", r.resource("cpp://status")),
+        ("cpp://stats", str(json.loads(r.resource("cpp://stats"))["documentCount"])),
+        ("cpp://none", _error(lambda: r.resource("cpp://none"))),
+        ("unloaded", failed(empty.handle("vector_search", {"embedding": [1.0, 0.0, 0.0]}))),
+        ("added", f"{str(added['success']).lower()} {added['id']}"),
+        ("load_again", f"{str(loaded['success']).lower()} {loaded['documentCount']}"),
+    ]
+    return spark.createDataFrame(rows, "request string, answer string")
+
+
+@_query(f"""SELECT CAST(vec_id AS VARCHAR) AS id, printf('%.4f', round(s, 10)) AS score_text, regexp_replace(substring(coalesce(text, ''), 1, 500), '^\\s+|\\s+$', '', 'g') || CASE WHEN length(text) > 500 THEN '...' ELSE '' END AS preview
+    FROM ({_top(_PLAIN_UNIT, _UNIT_Q, 20)}) t LEFT JOIN documents d ON d.doc_id = t.vec_id""")
+def rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a hundred wanted results twenty come."""
+    return rag.Retrieval(_store(spark, sf_dir), lambda text: _first(spark, sf_dir)).search("anything", 100)
+
+
+_WORDS = " OR ".join(f"contains(lower(id), '{w}') OR contains(lower(text), '{w}')" for w in sorted(rag.CATEGORY_KEYWORDS["io"]))
+
+
+@_query(f"""SELECT id, round(s, 6) AS score FROM (SELECT CAST(t.vec_id AS VARCHAR) AS id, s, coalesce(d.text, '') AS text FROM ({_top(_PLAIN_UNIT, _UNIT_Q, 40)}) t LEFT JOIN documents d ON d.doc_id = t.vec_id) WHERE {_WORDS} ORDER BY s DESC, id LIMIT 20""")
+def rag_category_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(rag.Retrieval(_store(spark, sf_dir), lambda text: _first(spark, sf_dir)).search_category("io", "how", 20).select("id", "score"))
+
+
+@_query("""SELECT 'docs_' || CASE WHEN c < 10000 THEN lpad(CAST(c AS VARCHAR), 4, '0') ELSE CAST(c AS VARCHAR) END || '.json' AS name, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last
+    FROM (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) AS BIGINT) AS c FROM documents) GROUP BY c""")
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in JSON files of a hundred each, read back from the files."""
+    place = shared_place(spark, "chunks")
+    write_json_arrays(_read(spark, sf_dir, "documents"), place, "doc_id", 100, "docs")
+    files = spark.read.format("text").option("wholetext", True).load(place).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.from_json("value", "array<struct<doc_id: long, text: string>>").alias("docs"))
+    ids = F.transform("docs", lambda d: d["doc_id"])
+    return files.select("name", F.size("docs").cast("long").alias("n"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
+
+
+@_query("SELECT doc_id, source, CAST(length(text) AS BIGINT) AS chars FROM documents")
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines, read back."""
+    place = shared_place(spark, "lines")
+    docs = _read(spark, sf_dir, "documents")
+    write_json_lines(docs, place)
+    return spark.read.schema(docs.schema).json(place).select("doc_id", "source", F.char_length("text").cast("long").alias("chars"))
+
+
+@_query("SELECT vec_id, 1.0::DOUBLE AS magnitude, CAST(32 AS INTEGER) AS dim, true AS same FROM embeddings")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random vectors of length 1 that depend on row key and seed alone, whatever the partitions."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id")
+    one = evaluate.random_unit_vectors(rows, 32, 3, "vec_id")
+    other = evaluate.random_unit_vectors(rows.repartition(3), 32, 3, "vec_id").select("vec_id", F.col("embedding").alias("other"))
+    return one.join(other, "vec_id").select("vec_id", F.round(V.magnitude(F.col("embedding")), 4).alias("magnitude"), F.size("embedding").alias("dim"), (F.col("embedding") == F.col("other")).alias("same"))
