@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import NORM_FLOOR, dot, vector_literal
 from ..schema import StoreError
@@ -94,6 +96,7 @@ def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", ve
 
 def _best(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, key: str, vector: str, query_key: str, kind: str, query_kind: str) -> DataFrame:
     dim = matrix.shape[1]
+    id_type = to_arrow_type(StructType.fromDDL(f"q {query_kind}")[0].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
@@ -126,7 +129,7 @@ def _best(docs: DataFrame, ids: list, matrix: np.ndarray, k: int, key: str, vect
         if held:
             best = merge()
         if best is not None and best.num_rows:
-            names = pa.array(ids).take(best.column("q").combine_chunks())
+            names = pa.array(ids, id_type).take(best.column("q").combine_chunks())
             for out in pa.table({query_key: names, key: best.column("key"), "score": best.column("score")}).to_batches(100_000):
                 yield out
 
