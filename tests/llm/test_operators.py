@@ -232,6 +232,25 @@ def test_long_runs(spark):
     assert (r.text, r.n_removed, r.longest_run) == ("new\nend", 11, 8)
 
 
+def test_ranks_are_in_suffix_order(spark):
+    """Names of a length order the runs as their line ids do, and are equal where the runs are."""
+    rng = np.random.default_rng(4)
+    texts = ["\n".join(f"l{x}" for x in rng.integers(0, 3, 25)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_row", F.col("doc_id"))
+    lines = line_dedup._lines(docs)
+    ids = defaultdict(dict)
+    for r in lines.collect():
+        ids[r.row][r.ln] = r.name
+    for h, classes in line_dedup.suffix_classes(lines):
+        rows = classes.collect()
+        runs = {(r.row, r.ln): tuple(ids[r.row][r.ln + k] for k in range(h)) for r in rows}
+        every = Counter(tuple(d[i + k] for k in range(h)) for d in ids.values() for i in range(len(d) - h + 1))
+        assert len(rows) == sum(n for n in every.values() if n > 1)
+        ordered = sorted(rows, key=lambda r: r.name)
+        assert [runs[r.row, r.ln] for r in ordered] == sorted(runs.values())
+        assert len({r.name for r in rows}) == len(set(runs.values()))
+
+
 def test_mixing(tables, empty):
     for t in tables:
         rows = mixing.mix(t).collect()

@@ -1,12 +1,12 @@
 """Delete later copies of repeated line runs, in DataFrame operations only.
 
-Lines become 64-bit ids, and each document a sequence of ids. Prefix doubling names the runs of 2h lines
-that start at each position by the pair of names of its two halves of h lines. A name shared by
-several positions is an interval of the suffix array with longest common prefixes of at least 2h lines;
-positions whose name is nobody else's are unique suffixes from there on and leave the doubling,
-which so works on repeated text alone and ends once no run repeats at the next length. Names are hashes
-of pairs instead of ranks, for ranks would need each class, of any size, in one sorted group; classes
-are only ever aggregated (count and first position), with partial sums before the shuffle.
+Lines become 64-bit ids, and each document a sequence of ids. Prefix doubling ranks the runs of 2h lines that start at each
+position by the pair of ranks of its two halves of h lines: the distinct pairs are sorted in ranges, and numbered in
+that order. Positions in the order of their ranks are the suffix array; those of equal rank are an interval of it, with longest common prefixes of
+at least 2h lines. Positions whose pair is nobody else's are unique suffixes from there on and leave the doubling,
+which so works on repeated text alone and ends once no run repeats at the next length. Only distinct pairs are sorted, so a
+line that is a third of all lines is one row there; classes are aggregated (count and first position) with partial sums before
+the shuffle, and where positions meet their ranks the engine splits a skewed partition.
 """
 
 from __future__ import annotations
@@ -28,30 +28,34 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return each.select("row", "doc_id", "ln", F.col("s.i").alias("at"), F.xxhash64("s.x").alias("name"), F.char_length("s.x").alias("chars"))
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Positions whose name occurs again, with ``later``: whether some position before has it.
+def _repeated(pairs: DataFrame) -> DataFrame:
+    """Positions (row, doc_id, ln, name, next) whose pair occurs again: with its rank as ``name``, and ``later``, whether some position before has it.
 
-    Positions are ordered by doc_id (null first), row and line.
+    Ranks ascend with (name, next) and differ between pairs. Positions are ordered by doc_id (null first), row and line.
     """
     place = F.struct("doc_id", "row", "ln")
-    classes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("name", "first")
-    return named.join(classes, "name").withColumn("later", (F.col("first.row") != F.col("row")) | (F.col("first.ln") != F.col("ln"))).drop("first")
+    classes = pairs.groupBy("name", "next").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = classes.repartitionByRange(parts, "name", "next").sortWithinPartitions("name", "next")
+    # a partition's number, then the place in it: in ranges these ascend with the pairs; written, for they must not change
+    ranked = materialize(in_order.select("name", "next", "first", F.monotonically_increasing_id().alias("rank")), "ranks")
+    later = (F.col("first.row") != F.col("row")) | (F.col("first.ln") != F.col("ln"))
+    return pairs.join(ranked, ["name", "next"]).select("row", "doc_id", "ln", F.col("rank").alias("name"), later.alias("later"))
 
 
 def suffix_classes(lines: DataFrame) -> list[tuple[int, DataFrame]]:
     """[(h, classes)] for h = 1, 2, 4 and so on while any run of h lines repeats.
 
-    ``classes`` has row, doc_id, ln, name and ``later`` of each position where a repeated run of h
-    lines starts; equal names are one interval of the suffix array. The list is logarithmic in the longest repeated run.
+    ``classes`` has row, doc_id, ln, name and ``later`` of each position where a repeated run of h lines starts; names are ranks among the
+    repeated runs of h lines, and equal ones an interval of the suffix array. The list is logarithmic in the longest repeated run.
     """
     out: list[tuple[int, DataFrame]] = []
-    h, now = 1, materialize(_repeated(lines.select("row", "doc_id", "ln", "name")), "runs")
+    h, now = 1, materialize(_repeated(lines.select("row", "doc_id", "ln", "name", F.lit(0).cast("long").alias("next"))), "runs")
     while not now.isEmpty():
         out.append((h, now))
         left = now.select("row", "doc_id", "ln", "name")
-        right = now.select(F.col("row"), (F.col("ln") - h).alias("ln"), F.col("name").alias("name2"))
-        both = left.join(right, ["row", "ln"]).select("row", "doc_id", "ln", F.xxhash64("name", "name2").alias("name"))
-        h, now = 2 * h, materialize(_repeated(both), "runs")
+        right = now.select(F.col("row"), (F.col("ln") - h).alias("ln"), F.col("name").alias("next"))
+        h, now = 2 * h, materialize(_repeated(left.join(right, ["row", "ln"])), "runs")
     return out
 
 
@@ -63,8 +67,8 @@ def _at_length(classes: list[tuple[int, DataFrame]], lines: int) -> DataFrame |
     h, c = below[-1]
     if h == lines:
         return c.select("row", "doc_id", "ln", "later")
-    shifted = c.select("row", (F.col("ln") - (lines - h)).alias("ln"), F.col("name").alias("name2"))
-    return _repeated(c.select("row", "doc_id", "ln", "name").join(shifted, ["row", "ln"]).select("row", "doc_id", "ln", F.xxhash64("name", "name2").alias("name"))).select("row", "doc_id", "ln", "later")
+    shifted = c.select("row", (F.col("ln") - (lines - h)).alias("ln"), F.col("name").alias("next"))
+    return _repeated(c.select("row", "doc_id", "ln", "name").join(shifted, ["row", "ln"])).select("row", "doc_id", "ln", "later")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> tuple[DataFrame, DataFrame]:

@@ -44,7 +44,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).drop("longest_run")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,10 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, CAST(coalesce(n_similar,
 FROM s JOIN m ON s.doc_id = m.doc_id LEFT JOIN n ON s.doc_id = n.doc_id
 """
 
+_LEVELS = [1 << k for k in range(1, 15)]  #: lengths of runs that SQL looks for; longer ones don't occur at its size
+_DOUBLED = ", ".join(f"n{h} AS (SELECT a.doc_id, a.ln, md5(a.x || b.x) AS x FROM n{h // 2} a JOIN n{h // 2} b ON a.doc_id = b.doc_id AND b.ln = a.ln + {h // 2})" for h in _LEVELS)
+_LONGEST = " UNION ALL ".join(f"SELECT doc_id, {h} AS h FROM (SELECT doc_id, row_number() OVER (PARTITION BY x ORDER BY doc_id, ln) AS k FROM n{h}) WHERE k > 1" for h in _LEVELS)
+
 _OP8 = f"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 every AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS x FROM raw WHERE text IS NOT NULL),
@@ -102,9 +106,11 @@ pair AS (SELECT a.doc_id, a.ln, a.x || chr(10) || b.x AS x FROM solid a JOIN sol
 runs AS (SELECT doc_id, ln, {line_dedup.MIN_LINES} AS n, row_number() OVER (PARTITION BY x ORDER BY doc_id, ln) AS k FROM pair
          UNION ALL SELECT doc_id, ln, 1, row_number() OVER (PARTITION BY x ORDER BY doc_id, ln) FROM solid WHERE length(x) >= {line_dedup.LONG_LINE}),
 gone AS (SELECT DISTINCT doc_id, unnest(range(ln, ln + n)) AS ln FROM runs WHERE k > 1),
+n1 AS (SELECT doc_id, ln, md5(x) AS x FROM solid), {_DOUBLED},
+longest AS (SELECT doc_id, max(h) AS h FROM ({_LONGEST} UNION ALL SELECT doc_id, 1 FROM runs WHERE k > 1 AND n = 1) GROUP BY doc_id),
 left_over AS (SELECT e.doc_id, e.pos, e.x, g.ln IS NULL AS keep FROM every e LEFT JOIN solid s ON e.doc_id = s.doc_id AND e.pos = s.pos LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.ln = s.ln)
-SELECT raw.doc_id, CAST(coalesce(len(raw.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CASE WHEN raw.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
-FROM raw LEFT JOIN (SELECT doc_id, sum(CASE WHEN keep THEN 0 ELSE 1 END) AS n, string_agg(x, chr(10) ORDER BY pos) FILTER (keep) AS text FROM left_over GROUP BY doc_id) k ON raw.doc_id = k.doc_id
+SELECT raw.doc_id, CAST(coalesce(len(raw.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest.h, 0) AS INTEGER) AS longest_run, CASE WHEN raw.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM raw LEFT JOIN (SELECT doc_id, sum(CASE WHEN keep THEN 0 ELSE 1 END) AS n, string_agg(x, chr(10) ORDER BY pos) FILTER (keep) AS text FROM left_over GROUP BY doc_id) k ON raw.doc_id = k.doc_id LEFT JOIN longest ON raw.doc_id = longest.doc_id
 """
 
 
