@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import normalize
+from ..functions.vectors import normalize, normalized_rows
 from ..schema import DOCUMENT, REJECTED, RESULT, StoreError, StoreFinalizedError
 from ..sources.json_dir import read_json_dir
 from .search import check_query, normalized, top_k, top_k_batch
@@ -87,7 +87,7 @@ class VectorStore:
         table = self.spark.createDataFrame(self._buffer, DOCUMENT)
         for t in self._tables:
             table = table.unionByName(t)
-        served = table.withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
+        served = normalized_rows(table, self.dim)
         served = served.persist(StorageLevel.MEMORY_AND_DISK)
         count = served.count()
         if self.max_docs is not None and count > self.max_docs:
