@@ -14,7 +14,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vecspan.llm import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, lm_score, media, mixing, token_store, toxicity
+from vecspan.llm import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, lm_score, media, mixing, storage, token_store, toxicity
 from vecspan.llm.license_rules import rules
 from vecspan.llm.queries import queries
 from vecspan.llm.storage import scratch
@@ -201,6 +201,25 @@ def test_jaccard_families_in_several_blocks(spark, monkeypatch):
     assert {r[0]: r[2] for r in want} == {d: near[d] for d, _ in rows}
 
 
+def test_jaccard_in_rounds(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard_join, "ROUND_POSTINGS", 100)
+    monkeypatch.setattr(jaccard_join, "ROUND_SHINGLES", 100)
+    monkeypatch.setattr(jaccard_join, "DENSE", 3)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(240):
+        n = int(rng.integers(1, 30)) if i % 3 else 50
+        w = [f"g{i % 7}w{k}" for k in range(n)]
+        for k in rng.choice(n, int(rng.integers(0, 1 + n // 8)), replace=False):
+            w[k] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    same([tuple(r) for r in jaccard_join.jaccard_groups(docs).collect()], brute_groups(rows))
+    left = Counter(p.name.rpartition("-")[0] for p in tmp_path.iterdir())
+    assert left["links"] > 1 and not left.keys() & {"classes", "candidates", "families", "placed"}
+
+
 def brute_dedup(docs):
     ordered = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0, k))
     seen, out = set(), {}

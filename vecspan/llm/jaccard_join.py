@@ -8,19 +8,21 @@ Exact: no pair at or above the threshold is lost, whatever the order of shingles
    the document's l-prefix; two similar documents share at least l shingles of their l-prefixes.
    Each document lengthens its prefix (raises l) for as long as that lowers its estimated cost of
    postings plus candidates, and a pair is verified only when it shares min(l_a, l_b) prefix shingles.
-3. Postings are shuffled by shingle, and pairs count their matches, inside each partition before
-   they are shuffled; only sizes that allow the threshold make a pair. A shingle whose classes would make more than
+3. Postings are shuffled by shingle, in ROUNDS rounds at most that each take a share of all shingles, and pairs count their
+   matches, inside each partition before they are shuffled. Of g rounds, one at least has l / g of a pair's l matches, so
+   that a round drops the pairs that have fewer. Only sizes that allow the threshold make a pair. A shingle whose classes would make more than
    DENSE pairs each, as in large groups of near copies, makes none: its classes join the *family* of their least class.
    Candidate pairs form families around their least classes too. So all that is shuffled grows with the postings.
    A shingle of more than SALT classes is split, so that each two parts of it meet in some task.
 4. A family's sets meet in blocks: one block, or each pair of sub-blocks of a large family. All intersections in a block are
-   counted from its own inverted index. Two classes that share several families are compared in the least of these.
+   counted from its own inverted index. Blocks take turns too, so that only a part of the sets is shuffled at a time. Two classes that share several families are compared in the least of these.
    A block returns one row for each class: the copies linked to it there, and the least class it is connected to.
 5. Components come from star contraction over classes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,18 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingle_sets
-from .storage import materialize
+from .storage import materialize, release
 
 PERCENT = 70
-SHIFT = 42
-BUCKETS = 1 << (64 - SHIFT)  #: counters of the frequency sketch, by the upper bits of a shingle
+MIN_BITS, MAX_BITS = 22, 25  #: log2 of the counters of the frequency sketch, by the upper bits of a shingle
+DOC_COUNTERS = 16  #: counters for each document, between these bounds
 SLICE = 1 << 16  #: counters that are summed in one row
-HEAVY = 1 << 17  #: most buckets that count as frequent; bounds what is broadcast
+HEAVY = 1 << 5  #: one counter of so many may count as frequent; bounds what is broadcast
+STEPS = 8  #: levels of frequency for each power of two
+ROUNDS = 5  #: most rounds of postings
+ROUND_POSTINGS = 24_000_000  #: postings of a round, about, while there are fewer than ROUNDS
+ROUND_SHARE = 4  #: one of so many shingles of all sets is shuffled at a time, about
+ROUND_SHINGLES = 1 << 27  #: or as many as this
 MIN_L, MAX_L = 6, 12  #: of sets that have as many needed matches
 VERIFY_COST = 8.0  #: cost of a candidate, in postings
 COLD = 0.05  #: candidates expected of a shingle that isn't frequent
@@ -71,47 +78,76 @@ class _Once(set):
         return True
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_bits(docs: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, (docs * DOC_COUNTERS - 1).bit_length()))
+
+
+def _classes(bits: int):
     """Rows of (doc_id, class, n); in the end the task's sketch, in rows of (slice as n, sketch)."""
-    names = ["doc_id", "cls", "n", "sketch"]
-    counts, once = np.zeros(BUCKETS, np.uint16), _Once()
-    for batch in batches:
-        ids, cls, n = [], [], []
-        for doc_id, s in _batch_rows(batch):
-            c = _class_of(s)
-            ids.append(doc_id)
-            cls.append(c)
-            n.append(len(s))
-            if len(s) and once.first(c):
-                # repeats of a bucket in one document count once: a sketch needn't be exact
-                at = (s >> np.uint64(SHIFT)).astype(np.int64)
-                counts[at] = np.minimum(counts[at], 65_534) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
-    for k in range(BUCKETS // SLICE):
-        part = counts[k * SLICE : (k + 1) * SLICE]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
+    names, shift = ["doc_id", "cls", "n", "sketch"], np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, once = np.zeros(1 << bits, np.uint8), _Once()
+        for batch in batches:
+            ids, cls, n = [], [], []
+            for doc_id, s in _batch_rows(batch):
+                c = _class_of(s)
+                ids.append(doc_id)
+                cls.append(c)
+                n.append(len(s))
+                if len(s) and once.first(c):
+                    # repeats of a bucket in one document count once, and a task counts up to 255: a sketch needn't be exact
+                    at = (s >> shift).astype(np.int64)
+                    counts[at] = np.minimum(counts[at], 254) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+        for k in range(len(counts) // SLICE):
+            part = counts[k * SLICE : (k + 1) * SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
+
+    return run
 
 
 def _hot_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice, the buckets that stand out from the even load of rare shingles, with their counts."""
+    """Of each slice, the buckets that stand out from the even load of rare shingles, with levels of their counts, as (place, level) in 24 and 8 bits."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("n").to_pylist(), batch.column("sketch")):
             total = sums.setdefault(k, np.zeros(SLICE, np.int64))
-            total += np.frombuffer(x.as_buffer(), np.uint16)
+            total += np.frombuffer(x.as_buffer(), np.uint8)
     for k, total in sums.items():
         load = float(np.median(total))
         hot = np.flatnonzero(total > load + 6 * load**0.5 + 2)
-        hot = hot[np.argsort(-total[hot], kind="stable")[: HEAVY * SLICE // BUCKETS]]
-        yield pa.RecordBatch.from_arrays([pa.array([(hot + k * SLICE).astype(np.int64).tobytes()], pa.binary()), pa.array([total[hot].tobytes()], pa.binary())], ["buckets", "counts"])
+        hot = hot[np.argsort(-total[hot], kind="stable")[: SLICE // HEAVY]]
+        level = np.minimum(np.log2(total[hot]) * STEPS, 255).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([(hot.astype(np.uint32) << 8 | level).tobytes()], pa.binary())], ["slice", "hot"])
 
 
-def _heavy(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of frequent shingles; HEAVY at most."""
-    rows = sketches.repartition(BUCKETS // SLICE, "n").mapInArrow(_hot_buckets, "buckets binary, counts binary").collect()
-    joined = [np.frombuffer(b"".join(r[k] for r in sorted(rows)), np.int64) for k in (0, 1)]
-    return joined[0], joined[1]
+class _Heavy:
+    """Estimated frequencies of frequent shingles; of all others 0."""
+
+    def __init__(self, sketches: DataFrame, bits: int) -> None:
+        rows = sketches.repartition((1 << bits) // SLICE, "n").mapInArrow(_hot_buckets, "slice long, hot binary").collect()
+        self.bits, self.slices = bits, [(r[0], zlib.compress(r[1], 1)) for r in rows]
+
+    def table(self) -> "_Frequencies":
+        return _Frequencies(self)
+
+
+class _Frequencies:
+    """A level for each bucket: of a count c, log2(c) * STEPS."""
+
+    def __init__(self, heavy: _Heavy) -> None:
+        self.shift = np.uint64(64 - heavy.bits)
+        self.levels = np.zeros(1 << heavy.bits, np.uint8)
+        for k, packed in heavy.slices:
+            x = np.frombuffer(zlib.decompress(packed), np.uint32)
+            self.levels[(x >> 8) + k * SLICE] = x & 255
+        self.counts = np.round(2 ** (np.arange(256) / STEPS)).astype(np.int64)
+        self.counts[0] = 0
+
+    def __getitem__(self, s: np.ndarray) -> np.ndarray:
+        return self.counts[self.levels[(s >> self.shift).astype(np.int64)]]
 
 
 def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -124,9 +160,9 @@ def choose_prefix(counts: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return int(ls[k]), int(lengths[k])
 
 
-def prefix_of(s: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def prefix_of(s: np.ndarray, freq: "_Frequencies", percent: int) -> tuple[np.ndarray, int]:
     """A set's adaptive prefix, rarest shingles first, and its l."""
-    f = freq[(s >> np.uint64(SHIFT)).astype(np.int64)]
+    f = freq[s]
     if f.any():
         order = np.argsort(f, kind="stable")
         s, f = s[order], f[order]
@@ -134,12 +170,6 @@ def prefix_of(s: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray
     return s[:length], l
 
 
-def _frequencies(heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    freq = np.zeros(BUCKETS, np.int64)
-    freq[heavy[0]] = heavy[1]
-    return freq
-
-
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the runs of equal values."""
     at = np.flatnonzero(np.concatenate([np.ones(1, bool), x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -156,11 +186,11 @@ def _salted(h: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> tuple[np.ndarr
         return h[rows] + (low << np.uint64(32) | high) * np.uint64(0x9E3779B97F4A7C15), rows
 
 
-def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
-    """(h, cls, nb): a shingle of the class's prefix, with n and l in nb."""
+def _postings(heavy: _Heavy, percent: int, rounds: int = 1, turn: int = 0):
+    """(h, cls, nb): a shingle of the class's prefix that has its turn, with n and l in nb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq, once = _frequencies(heavy), _Once()
+        freq, once = heavy.table(), _Once()
         out: list[tuple[np.ndarray, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
@@ -168,7 +198,7 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
             h = np.concatenate([x[0] for x in out])
             cls, n, l = (np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2, 3))
             nb = l << 24 | np.minimum(n, MAX_N)
-            parts = freq[(h >> np.uint64(SHIFT)).astype(np.int64)] // SALT + 1
+            parts = freq[h] // SALT + 1
             if parts.max() > 1:
                 h, rows = _salted(h, cls, parts)
                 cls, nb = cls[rows], nb[rows]
@@ -180,6 +210,8 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], percent: int):
                 if not len(s) or not once.first(c := _class_of(s)):
                     continue
                 prefix, l = prefix_of(s, freq, percent)
+                if rounds > 1:
+                    prefix = prefix[prefix % np.uint64(rounds) == turn]
                 out.append((prefix, c, len(s), l))
                 held += len(prefix)
                 if held > 200_000:
@@ -420,19 +452,34 @@ def _verify(percent: int, pairs: bool):
     return run
 
 
-def _families(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _families(docs: DataFrame, members: DataFrame, heavy: _Heavy, percent: int) -> DataFrame:
     """(family, cls), each once: every two classes that may meet the threshold share a family."""
-    heavy = _heavy(first.where("cls is null").select("n", "sketch"))
-    postings = docs.select("text").mapInArrow(_postings(heavy, percent), "h long, cls long, nb long")
-    met = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, kind long, na long, nb long, met long")
-    counted = met.groupBy("a", "b", "kind").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
-    found = materialize(counted.where("kind = 1 or met >= least(na % 256, nb % 256)").select("a", "b", "kind"), "candidates")
+    of = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rounds = int(min(ROUNDS, max(1, -(-of * (100 - percent) // 100 // ROUND_POSTINGS))))
+    # a pair with l matches has l / rounds in some round; a round without that many has one less at most
+    least = F.least(F.col("na") % 256, F.col("nb") % 256)
+    few = F.ceil(least / rounds)
+    parts = []
+    for turn in range(rounds):
+        postings = docs.select("text").mapInArrow(_postings(heavy, percent, rounds, turn), "h long, cls long, nb long")
+        met = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, kind long, na long, nb long, met long")
+        counted = met.groupBy("a", "b", "kind").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
+        parts.append(materialize(counted.where((F.col("kind") == 1) | (F.col("met") >= few)).select("a", "b", "kind", (F.col("met") - few + 1).alias("more"), (least - rounds * (few - 1)).alias("over")), "candidates"))
+    found = parts[0]
+    if rounds > 1:
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.union(part)
+        found = materialize(every.groupBy("a", "b", "kind").agg(F.sum("more").alias("more"), F.first("over").alias("over")).where("kind = 1 or more >= over"), "candidates")
+        release(*parts)
     dense = found.where("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("cls"))
     pairs = found.where("kind = 0").select("a", "b")
     least = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
     led = pairs.join(least, "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("other")), "b").select("a", "b", F.least("least", "other").alias("family"))
     each = led.select("family", F.explode(F.array("a", "b")).alias("cls"))
-    return dense.union(each).distinct()
+    families = materialize(dense.union(each).distinct(), "families")
+    release(found)
+    return families
 
 
 def _largest(families: DataFrame) -> DataFrame:
@@ -449,11 +496,15 @@ def _largest(families: DataFrame) -> DataFrame:
 def _compared(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
     """(members, what the blocks say)."""
     docs = docs.select("doc_id", "text")
-    first = materialize(docs.mapInArrow(_classes, "doc_id long, cls long, n long, sketch binary"), "classes")
-    members = first.where("cls is not null").select("doc_id", "n", "cls")
+    bits = _sketch_bits(docs.count())
+    first = materialize(docs.mapInArrow(_classes(bits), "doc_id long, cls long, n long, sketch binary"), "classes")
+    heavy = _Heavy(first.where("cls is null").select("n", "sketch"), bits)
+    members = materialize(first.where("cls is not null").select("doc_id", "n", "cls"), "members")
+    release(first)
     classes = members.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
-    families = materialize(_families(docs, first, percent), "families")
-    families = materialize(_largest(families).join(classes, "cls"), "families")
+    met = _families(docs, members, heavy, percent)
+    families = materialize(_largest(met).join(classes, "cls"), "families")
+    release(met)
     sized = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("subs")).where("m > 1").drop("m")
     sub = F.pmod(F.xxhash64("cls"), F.col("subs"))
     placed = families.join(sized, "family").withColumn("sub", sub).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
@@ -463,16 +514,27 @@ def _compared(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, Da
     if not total:
         return members, docs.sparkSession.createDataFrame([], kind)
 
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for row in placed.select("cls").distinct().coalesce(4).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
-        bloom |= np.frombuffer(row[0], np.uint8)
-    sets = docs.select("text").mapInArrow(_sets(bloom), "cls long, shingles binary").dropDuplicates(["cls"])
+    whole = members.agg(F.sum("n")).first()[0]
+    rounds = -(-total // max(ROUND_SHINGLES, whole // ROUND_SHARE))
     blocks = max(4, -(-total * 8 // BLOCK_BYTES))
     alone = F.pmod(F.xxhash64("family"), F.lit(blocks))
     block = alone if widest == 1 else F.when(F.col("subs") == 1, alone).otherwise(F.xxhash64("family", "p", "q"))
     of = families.groupBy("cls").agg(F.collect_list("family").alias("families"))
-    sent = placed.withColumn("block", block).drop("n", "subs").join(of, "cls").join(sets, "cls")
-    return members, materialize(sent.groupBy("block").applyInArrow(_verify(percent, pairs), kind), "links")
+    links = []
+    for turn in range(rounds):
+        now = placed.withColumn("block", block)
+        now = now if rounds == 1 else now.where(F.pmod("block", F.lit(rounds)) == turn)
+        bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for row in now.select("cls").distinct().coalesce(4).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
+            bloom |= np.frombuffer(row[0], np.uint8)
+        sets = docs.select("text").mapInArrow(_sets(bloom), "cls long, shingles binary").dropDuplicates(["cls"])
+        sent = now.drop("n", "subs").join(of, "cls").join(sets, "cls")
+        links.append(materialize(sent.groupBy("block").applyInArrow(_verify(percent, pairs), kind), "links"))
+    release(placed, families)
+    every = links[0]
+    for part in links[1:]:
+        every = every.union(part)
+    return members, every
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

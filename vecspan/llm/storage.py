@@ -10,11 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +44,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
     This cuts the lineage with files that outlive any executor, and fixes the values of
-    expressions that could differ between runs of the plan.
+    expressions that could differ between runs of the plan. The shuffle files that made the table
+    go with its last task, instead of with some later collection of the driver's garbage.
     """
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned and that nothing reads any more."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            drop_scratch(table.sparkSession, path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
