@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -10,11 +11,12 @@ from html import unescape
 from io import BytesIO
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from vecspan.llm import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, lm_score, media, mixing, storage, token_store, toxicity
+from vecspan.llm import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, lm_score, media, mixing, shingles, storage, token_store, toxicity
 from vecspan.llm.license_rules import rules
 from vecspan.llm.queries import queries
 from vecspan.llm.storage import scratch
@@ -393,6 +395,20 @@ def test_lm_scores_use_the_whole_reference(spark, tables, data):
         same([(r.doc_id, r.ref_words, r.n_phrases) for r in got], [(i, sum(len(w) for _, w in kept), brute_cross(lm_score.words_of(x), [w for j, w in kept if j != i])) for i, x in docs])
 
 
+def test_lm_scores_hold_few_bytes_a_word(spark):
+    rng = np.random.default_rng(8)
+    ids = list(range(100))
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 1 << 40, 2_000)) for _ in ids])
+    tracemalloc.start()
+    try:
+        docs = lm_score._Docs(ids, texts)
+        now, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    shared = sum(x.nbytes for x in shingles._POWERS)  # made once for each process
+    assert sum(docs.sizes) == 200_000 and now - shared < 60 * 200_000
+
+
 def test_lm_scores_with_few_long_references(spark):
     text = " ".join(f"w{k % 50}" for k in range(400))
     for n in (1, 10):
