@@ -409,6 +409,32 @@ def test_lm_scores_hold_few_bytes_a_word(spark):
     assert sum(docs.sizes) == 200_000 and now - shared < 60 * 200_000
 
 
+def test_lm_scores_look_up_what_may_grow(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 5_000) for _ in range(80)]
+    texts[70:75] = [" ".join(t.split()[:150]) + " tail" for t in texts[:5]]
+    blocks = []
+    for k in (0, 1):
+        rows = pa.table({"doc_id": pa.array(range(k, 60, 2), pa.int64()), "text": texts[k:60:2]})
+        blocks.append(lm_score._Block(lm_score._build(rows, f"file://{tmp_path}/block").column("path")[0].as_py()))
+    ids = [*range(50, 79), None]
+    docs = lm_score._Docs(ids, pa.array(texts[50:80]))
+    for b in blocks:
+        docs.match(b)
+    at = 0
+    for i, text in zip(ids, texts[50:80]):
+        words = text.split()
+        others = [f" {t} " for j, t in enumerate(texts[:60]) if j != i]
+        for k in range(0, len(words), 7):
+            n = 0
+            while k + n < len(words) and any(f" {' '.join(words[k : k + n + 1])} " in t for t in others):
+                n += 1
+            assert docs.longest[at + k] == n
+        at += len(words) + 1
+    asked = [len(docs._may(b)) for b in blocks]
+    assert max(asked) < len(docs.at) / 2  # own texts, and what the filters let through wrongly
+
+
 def test_lm_scores_with_few_long_references(spark):
     text = " ".join(f"w{k % 50}" for k in range(400))
     for n in (1, 10):
