@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import tracemalloc
 import wave
 import zlib
@@ -203,6 +204,21 @@ def test_jaccard_families_in_several_blocks(spark, monkeypatch):
     assert {r[0]: r[2] for r in want} == {d: near[d] for d, _ in rows}
 
 
+def test_jaccard_sketch_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    docs = spark.createDataFrame([(k, f"a b {k} d e {k + 1} f") for k in range(50)], "doc_id long, text string").repartition(3)
+    bits = jaccard_join.MIN_BITS
+    sketches = storage.materialize(docs.mapInArrow(jaccard_join._classes(bits), "doc_id long, cls long, n long, sketch binary"), "classes").where("cls is null").select("n", "sketch")
+    before = files()
+    heavy = jaccard_join._Heavy(sketches, bits)
+    assert heavy.slices
+    for _ in range(50):
+        if left := files() - before:
+            time.sleep(0.1)
+    assert not left
+
+
 def test_jaccard_in_rounds(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(jaccard_join, "ROUND_POSTINGS", 100)
     monkeypatch.setattr(jaccard_join, "ROUND_SHINGLES", 100)

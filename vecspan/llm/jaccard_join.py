@@ -127,8 +127,10 @@ class _Heavy:
     """Estimated frequencies of frequent shingles; of all others 0."""
 
     def __init__(self, sketches: DataFrame, bits: int) -> None:
-        rows = sketches.repartition((1 << bits) // SLICE, "n").mapInArrow(_hot_buckets, "slice long, hot binary").collect()
-        self.bits, self.slices = bits, [(r[0], zlib.compress(r[1], 1)) for r in rows]
+        # written, not only collected: the tasks' sketches are two thirds of a large input, and their shuffle files go with a written table
+        hot = materialize(sketches.repartition((1 << bits) // SLICE, "n").mapInArrow(_hot_buckets, "slice long, hot binary"), "hot")
+        self.bits, self.slices = bits, [(r[0], zlib.compress(r[1], 1)) for r in hot.collect()]
+        release(hot)
 
     def table(self) -> "_Frequencies":
         return _Frequencies(self)
