@@ -339,6 +339,38 @@ def test_token_store(spark, tables, empty):
     assert token_store.token_digests(empty).count() == 0
 
 
+def test_encoder_by_chunks(monkeypatch):
+    """Chunks, table and pool much smaller than the texts: ids as the library gives them."""
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    pieces = ["a", "Z", "é", "Ê", "ß", "Þ", "ÿ", "×", "÷", "ñ", "'s", "'", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "7", ".", ",)", "!!", "_", "\u0301", "\u212a", "İ", "漢", "😀", "\t", "\u00a0", " ", " ", "\n", "word", "The", "x" * 23, "-" * 30]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 40))) for _ in range(400)]
+    texts += [None, "", " ", "\n\n", "é", "A.", " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) + "." for _ in range(2000)), "Ab" * 4000]
+    expected = [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for chunk, slots, pool in ((1 << 20, 1 << 19, 1 << 22), (300, 16, 200), (50, 1, 10)):
+        for k, v in (("CHUNK", chunk), ("SLOTS", slots), ("POOL", pool)):
+            monkeypatch.setattr(token_store.Encoder, k, v)
+        encoder = token_store.Encoder(path)
+        for part in (pa.array(texts), pa.array([*"xyz", *texts]).slice(3)):
+            assert [x for some in encoder.encode(part) for x in some] == expected
+
+
+def test_encoder_holds_little():
+    """What 300,000 different words leave in a worker, with the encoder's own tables."""
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (300_000, 9)).tolist()]
+    texts = pa.array([" ".join(words[k::100]) + "." for k in range(100)])
+    tracemalloc.start()
+    encoder = token_store.Encoder(token_store.default_tokenizer())
+    assert sum(len(some) for some in encoder.encode(texts)) == 100
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 48 << 20
+
+
 def test_media(tables, empty):
     for t in tables:
         for r, (i, text) in zip(media.media_digests(t).collect(), rows_of(t)):

@@ -14,6 +14,7 @@ A document is read with the file's footer, the index and one frame. Shards hold
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -50,6 +51,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 a blank, 1 an ASCII letter, 2 punctuation of a tail, 3 anything else."""
+    kinds = np.full(256, 3, np.uint8)
+    kinds[[0x20, 0x0A]] = 0
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+    kinds[[k for k in range(0x21, 0x7F) if kinds[k] == 3 and not chr(k).isdigit() and chr(k) not in "'<"]] = 2
+    return kinds
+
+
+_KIND = _kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_BLANK = re.compile(b"[ \n]")
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions in all spans, one span after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Encoder:
     """Whole texts to little-endian u32 ids, each distinct stretch between blanks encoded once.
 
@@ -58,27 +81,31 @@ class Encoder:
     the ids of a text are those of its stretches in turn; tests compare with the library on whole texts.
     Two things could cross a stretch's edge, the added tokens and a leading combining mark, and neither
     holds or composes with a blank. Of a stretch of letters up to U+00FF and a tail of ASCII punctuation, the pre-tokenizer
-    makes two: the letters, in lower case, which are encoded once for all tails, and the tail. Letters are encoded many at a time, as one
-    text whose words end where the vocabulary has tokens that end a word. Long stretches aren't remembered, and the memory is bounded.
+    makes two units: the letters, in lower case, and the tail. Units of up to 24 bytes are found, for a whole chunk of texts at
+    once, in a table of SLOTS places that holds these bytes themselves; a new unit takes its place. New letters are encoded many at
+    a time, as one text whose words end where the vocabulary has tokens that end a word. All other stretches go by a dict; long ones
+    aren't remembered. Ids are kept in one array; at POOL ids all is forgotten, so that the memory is bounded.
     """
 
-    LIMIT = 300_000
+    CHUNK = 1 << 20
+    SLOTS = 1 << 19
+    POOL = 1 << 22
+    WIDE = 24
     LONG = 64
     WORD_END = "</w>"
-    _SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-;=-@\\[-`{-~]*)")
+    _NORMALIZER = ["NFC", "Replace", "Lowercase"]
+    _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.words = self._of_words(path) or self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -87,85 +114,173 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some) or stops[-1] != len(ids):
-                self.letters.update((w, self._plain(w)) for w in some)
+    @classmethod
+    def _of_words(cls, path: str):
+        """The same model without normalizer and pattern, which leave lower-case letters up to U+00FF as they are; None for another kind of vocabulary."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.models import BPE
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, pre, norm = made["model"], (made.get("pre_tokenizer") or {}).get("pretokenizers") or [], (made.get("normalizer") or {}).get("normalizers") or []
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        kinds = [x["type"] for x in pre] == ["Split", "ByteLevel"] and [x["type"] for x in norm] == cls._NORMALIZER
+        if not plain or not kinds or model["type"] != "BPE" or model.get("end_of_word_suffix") != cls.WORD_END or pre[0]["pattern"] != {"Regex": cls._PATTERN}:
+            return None
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        found = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=cls.WORD_END))
+        found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return found
+
+    def _forget(self) -> None:
+        self.pool, self.used = np.zeros(self.POOL + self.CHUNK, "<u4"), 0
+        self.table = np.zeros((self.SLOTS, 4), np.uint64)  #: 24 bytes of a unit, and where its ids are in the pool, with their number in the lowest byte
+        self.known: dict[bytes, tuple[int, int]] = {}
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _add(self, ids: np.ndarray) -> int:
+        """Put ids into the pool; where they begin."""
+        at = self.used
+        self.used += len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used, "<u4")])
+        self.pool[at : self.used] = ids
+        return at
+
+    def _learn_units(self, low: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number) in the pool of the ids of units of lower-cased bytes."""
+        start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        letters = _KIND[low[at]] != 2
+        for k in np.flatnonzero(~letters).tolist():
+            ids = self._plain(low[at[k] : at[k] + size[k]].tobytes().decode())
+            start[k], count[k] = self._add(ids), len(ids)
+        words = np.flatnonzero(letters)
+        for some in np.split(words, range(4096, len(words), 4096)) if len(words) else []:
+            stop = np.cumsum(size[some] + 1)
+            text = low[_spans(at[some], size[some] + 1)]
+            text[stop - 1] = 0x20
+            ids = np.array(self.words.encode_batch_fast([text[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                count[some] = np.diff(last, prepend=0)
+                start[some] = self._add(ids) + last - count[some]
                 continue
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(some, (stops * 4).tolist()):
-                self.letters[w] = data[start:stop]
-                start = stop
-
-    def _learn(self, parts: list[str]) -> None:
-        simple: list[tuple[str, str, str]] = []
-        other: list[str] = []
-        match = self._SIMPLE.fullmatch
-        for p in parts:
-            found = match(p.lower())
-            if found:
-                simple.append((p, *found.groups()))
-            else:
-                other.append(p)
-        for tail in {t for _, _, t in simple} - self.tails.keys():
-            self.tails[tail] = self._plain(tail)
-        if len(self.letters) > self.LIMIT:
-            self.letters.clear()
-        self._learn_letters(sorted({w for _, w, _ in simple} - self.letters.keys()))
-        self.known.update((p, self.letters[w] + self.tails[t]) for p, w, t in simple)
-        if len(self.tails) > self.LIMIT // 10:
-            self.tails = {"": b""}
-        for at in range(0, len(other), 4096):
-            some = other[at : at + 4096]
-            encoding = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4")
+            for k in some.tolist():
+                ids = self._plain(low[at[k] : at[k] + size[k]].tobytes().decode())
+                start[k], count[k] = self._add(ids), len(ids)
+        return start, count
+
+    def _learn_others(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            texts = [q.decode() for q in some]
+            encoding = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
             words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
             if len(words) and (words.min() < 0 or (np.diff(words) < 0).any()):
-                for q in some:
-                    self.known[q] = self._plain(q)
+                for q, text in zip(some, texts):
+                    ids = self._plain(text)
+                    self.known[q] = self._add(ids), len(ids)
                 continue
             edges = np.searchsorted(words, np.arange(len(some) + 1))
-            data = ids.tobytes()
-            for q, a, b in zip(some, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist()):
-                self.known[q] = data[a:b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-        every = set().union(*cut)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > self.LIMIT:
-            self.old, self.known = self.known, {"": b""}
-            new = every - self.known.keys()
-        if self.old:
-            again = new & self.old.keys()
-            self.known.update((p, self.old[p]) for p in again)
-            new -= again
-        self._learn(sorted(new))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > self.LONG:
-                del self.known[p]
-        return out
-
-
-def _pieces(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[list, list]]:
-    """Ids and texts of a batch, some MB at a time."""
-    ids, texts, held = [], [], 0
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        ids.append(doc_id)
-        texts.append(text)
-        held += len(text or "")
-        if held > limit:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+            first = self._add(np.array(encoding.ids, "<u4"))
+            for q, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist()):
+                self.known[q] = first + a, b - a
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of some texts, given as UTF-8 bytes and where each begins and ends."""
+        if self.used > self.POOL:
+            self._forget()
+        n = len(data)
+        if not n:
+            return [b""] * (len(offsets) - 1)
+        low, kind = np.zeros(n + self.WIDE, np.uint8), _KIND[data]
+        low[:n] = _LOWER[data]
+        # letters from U+00C0 to U+00FF are two bytes; of these a multiplication and a division sign aren't letters
+        two = np.flatnonzero(data[:-1] == 0xC3)
+        if len(two):
+            two = two[((data[two + 1] & 0xC0) == 0x80) & ((data[two + 1] & 0xDF) != 0x97)]
+            kind[two] = kind[two + 1] = 1
+            low[two + 1] |= np.where(data[two + 1] == 0x9F, 0, 0x20).astype(np.uint8)
+        blank = kind == 0
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        edges = offsets[1:-1]
+        edges = edges[(edges > 0) & (edges < n)]
+        first[edges], last[edges - 1] = ~blank[edges], ~blank[edges - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+
+        letters, tails = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        np.cumsum(kind == 1, out=letters[1:])
+        np.cumsum(kind == 2, out=tails[1:])
+        head, tail, size = letters[ends] - letters[starts], tails[ends] - tails[starts], ends - starts
+        simple = (head > 0) & (head <= self.WIDE) & (tail <= self.WIDE) & (head + tail == size) & (letters[starts + head] - letters[starts] == head)
+        some = np.stack([np.ones(len(starts), bool), simple & (tail > 0)], 1)
+        at = np.stack([starts, starts + head], 1)[some]
+        sizes = np.stack([np.where(simple, head, size), tail], 1)[some]
+        simple = np.stack([simple, simple], 1)[some]
+        start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+
+        mine = np.flatnonzero(simple)
+        eight = np.ndarray((n + self.WIDE - 7,), "<u8", low.data, strides=(1,))
+        keys = [eight[at[mine] + 8 * k] & _MASK[np.clip(sizes[mine] - 8 * k, 0, 8)] for k in range(3)]
+        with np.errstate(over="ignore"):
+            mixed = keys[0] * _MULT[0] + (keys[1] ^ keys[1] >> np.uint64(29)) * _MULT[1] + keys[2] * _MULT[2]
+            mixed = (mixed ^ mixed >> np.uint64(32)) * _MULT[0]
+        slot = (mixed >> np.uint64(40)).astype(np.int64) & (self.SLOTS - 1)
+        held = self.table[slot]
+        hit = (held[:, 0] == keys[0]) & (held[:, 1] == keys[1]) & (held[:, 2] == keys[2])
+        place = held[:, 3].astype(np.int64)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            new = new[np.argsort(mixed[new], kind="stable")]
+            once = np.ones(len(new), bool)
+            once[1:] = (keys[0][new[1:]] != keys[0][new[:-1]]) | (keys[1][new[1:]] != keys[1][new[:-1]]) | (keys[2][new[1:]] != keys[2][new[:-1]])
+            unit = new[once]
+            of, number = self._learn_units(low, at[mine[unit]], sizes[mine[unit]])
+            packed = of << 8 | number
+            place[new] = packed[np.cumsum(once) - 1]
+            self.table[slot[unit]] = np.stack([*(x[unit] for x in keys), packed.astype(np.uint64)], 1)
+        start[mine], count[mine] = place >> 8, place & 255
+
+        other = np.flatnonzero(~simple)
+        if len(other):
+            parts = [data[a : a + k].tobytes() for a, k in zip(at[other].tolist(), sizes[other].tolist())]
+            unknown = sorted(set(parts) - self.known.keys())
+            self._learn_others(unknown)
+            start[other], count[other] = np.array([self.known[q] for q in parts], np.int64).T
+            for q in unknown:
+                if len(q) > self.LONG:
+                    del self.known[q]
+
+        ids = self.pool[_spans(start, count)].tobytes()
+        units = np.concatenate([np.zeros(1, np.int64), np.cumsum(some.sum(1))])[np.searchsorted(starts, offsets)]
+        bounds = (4 * np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])[units]).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def _long_row(self, data: np.ndarray) -> bytes:
+        """The ids of a long text, from parts that end before blanks."""
+        out, at = [], 0
+        while at < len(data):
+            found = _BLANK.search(data, min(len(data), at + self.CHUNK))
+            to = found.start() if found else len(data)
+            out += self._rows(data[at:to], np.array([0, to - at]))
+            at = to
+        return b"".join(out)
+
+    def encode(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of each text, for some texts at a time; null has none."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.CHUNK, "right")) - 1)
+            some = data[offsets[at] : offsets[to]]
+            yield [self._long_row(some)] if len(some) > self.CHUNK else self._rows(some, offsets[at : to + 1] - offsets[at])
+            at = to
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> bytes:
@@ -179,8 +294,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for _, texts in _pieces(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(texts), pa.binary())], ["ids"])
+            for raw in encoder.encode(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["ids"])
 
     samples = [bytes(r[0]) for r in lowest.mapInArrow(ids, "ids binary").collect() if len(r[0]) >= 8]
     try:
@@ -217,11 +332,11 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
         encoder, packer = Encoder.of(tokenizer), _compressor(dictionary)
         for batch in batches:
             at = 0
-            for ids, texts in _pieces(batch):
-                raw = [x + tail for x in encoder.encode(texts)]
-                spread = batch.column("spread").slice(at, len(ids))
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), spread, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["doc_id", "spread", "n", "frame"])
+            for found in encoder.encode(batch.column("text")):
+                raw = [x + tail for x in found]
+                ids, spread = (batch.column(k).slice(at, len(raw)) for k in ("doc_id", "spread"))
+                at += len(raw)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), spread, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["doc_id", "spread", "n", "frame"])
 
     # Ranges come from doc_id alone: ranging the encoded rows would encode them twice.
     rows, numbered = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
