@@ -339,6 +339,21 @@ def test_token_store(spark, tables, empty):
     assert token_store.token_digests(empty).count() == 0
 
 
+def test_finished_tasks_give_memory_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    above = []
+
+    def run(batches):
+        held = [bytes(2000) for _ in range(60_000)]
+        above.append(bytes(2000))  # keeps the heap from shrinking by itself
+        yield from batches
+        assert len(held) == 60_000
+
+    before = resident()
+    assert list(storage.trimmed(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40 << 20
+
+
 def test_encoder_by_chunks(monkeypatch):
     """Chunks, table and pool much smaller than the texts: ids as the library gives them."""
     from tokenizers import Tokenizer

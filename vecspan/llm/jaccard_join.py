@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingle_sets
-from .storage import materialize, release
+from .storage import materialize, release, trimmed
 
 PERCENT = 70
 MIN_BITS, MAX_BITS = 22, 25  #: log2 of the counters of the frequency sketch, by the upper bits of a shingle
@@ -128,7 +128,7 @@ class _Heavy:
 
     def __init__(self, sketches: DataFrame, bits: int) -> None:
         # written, not only collected: the tasks' sketches are two thirds of a large input, and their shuffle files go with a written table
-        hot = materialize(sketches.repartition((1 << bits) // SLICE, "n").mapInArrow(_hot_buckets, "slice long, hot binary"), "hot")
+        hot = materialize(sketches.repartition((1 << bits) // SLICE, "n").mapInArrow(trimmed(_hot_buckets), "slice long, hot binary"), "hot")
         self.bits, self.slices = bits, [(r[0], zlib.compress(r[1], 1)) for r in hot.collect()]
         release(hot)
 
@@ -463,8 +463,8 @@ def _families(docs: DataFrame, members: DataFrame, heavy: _Heavy, percent: int)
     few = F.ceil(least / rounds)
     parts = []
     for turn in range(rounds):
-        postings = docs.select("text").mapInArrow(_postings(heavy, percent, rounds, turn), "h long, cls long, nb long")
-        met = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(_pairs(percent), "a long, b long, kind long, na long, nb long, met long")
+        postings = docs.select("text").mapInArrow(trimmed(_postings(heavy, percent, rounds, turn)), "h long, cls long, nb long")
+        met = postings.repartition("h").sortWithinPartitions("h", "cls").mapInArrow(trimmed(_pairs(percent)), "a long, b long, kind long, na long, nb long, met long")
         counted = met.groupBy("a", "b", "kind").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
         parts.append(materialize(counted.where((F.col("kind") == 1) | (F.col("met") >= few)).select("a", "b", "kind", (F.col("met") - few + 1).alias("more"), (least - rounds * (few - 1)).alias("over")), "candidates"))
     found = parts[0]
@@ -499,7 +499,7 @@ def _compared(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, Da
     """(members, what the blocks say)."""
     docs = docs.select("doc_id", "text")
     bits = _sketch_bits(docs.count())
-    first = materialize(docs.mapInArrow(_classes(bits), "doc_id long, cls long, n long, sketch binary"), "classes")
+    first = materialize(docs.mapInArrow(trimmed(_classes(bits)), "doc_id long, cls long, n long, sketch binary"), "classes")
     heavy = _Heavy(first.where("cls is null").select("n", "sketch"), bits)
     members = materialize(first.where("cls is not null").select("doc_id", "n", "cls"), "members")
     release(first)
@@ -527,9 +527,9 @@ def _compared(docs: DataFrame, percent: int, pairs: bool) -> tuple[DataFrame, Da
         now = placed.withColumn("block", block)
         now = now if rounds == 1 else now.where(F.pmod("block", F.lit(rounds)) == turn)
         bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for row in now.select("cls").distinct().coalesce(4).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
+        for row in now.select("cls").distinct().coalesce(4).mapInArrow(trimmed(_bloom_part), "bits binary").toLocalIterator():
             bloom |= np.frombuffer(row[0], np.uint8)
-        sets = docs.select("text").mapInArrow(_sets(bloom), "cls long, shingles binary").dropDuplicates(["cls"])
+        sets = docs.select("text").mapInArrow(trimmed(_sets(bloom)), "cls long, shingles binary").dropDuplicates(["cls"])
         sent = now.drop("n", "subs").join(of, "cls").join(sets, "cls")
         links.append(materialize(sent.groupBy("block").applyInArrow(_verify(percent, pairs), kind), "links"))
     release(placed, families)

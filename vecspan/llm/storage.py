@@ -8,10 +8,13 @@ machine-local folder would lose its files with the machine.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return written
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of batches, after which a task returns to the system what it has freed; workers live on, and would keep it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` returned and that nothing reads any more."""
     for table in tables:

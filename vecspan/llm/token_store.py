@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, scratch
+from .storage import materialize, scratch, trimmed
 
 MAGIC = b"VTOK1\n\0\0"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
@@ -297,7 +297,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
             for raw in encoder.encode(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["ids"])
 
-    samples = [bytes(r[0]) for r in lowest.mapInArrow(ids, "ids binary").collect() if len(r[0]) >= 8]
+    samples = [bytes(r[0]) for r in lowest.mapInArrow(trimmed(ids), "ids binary").collect() if len(r[0]) >= 8]
     try:
         return zstandard.train_dictionary(dict_bytes, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -348,7 +348,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     at = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _bisect(F.col("cuts"), F.col("doc_id"), len(cuts)))
     bounds = F.broadcast(spark.createDataFrame([(cuts, parts, first)], "cuts array<long>, parts array<long>, first array<long>"))
     spread = F.pmod(F.xxhash64("text"), F.lit(_SPREAD))
-    frames = docs.withColumn("spread", spread).mapInArrow(encode, "doc_id long, spread long, n long, frame binary")
+    frames = docs.withColumn("spread", spread).mapInArrow(trimmed(encode), "doc_id long, spread long, n long, frame binary")
     ranged = frames.join(bounds).withColumn("range", at)
     shard = F.get("first", "range") + F.floor(F.col("spread") * F.get("parts", "range") / _SPREAD)
     placed = ranged.select(shard.alias("shard"), "doc_id", "spread", "n", "frame").repartition(max(1, min(shards, rows)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "spread", "frame")
@@ -367,7 +367,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
         if file:
             yield file.close()
 
-    manifest = materialize(placed.mapInArrow(write, "shard long, path string, docs long, ids long"), "manifest")
+    manifest = materialize(placed.mapInArrow(trimmed(write), "shard long, path string, docs long, ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard file
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
@@ -476,7 +476,7 @@ def read_token_store(manifest: DataFrame, value: Callable[[bytes], object] | Non
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts[at : at + 500]), pa.array(n[at : at + 500]), values], ["doc_id", "start", "n_tokens", "value"])
 
     spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
-    return spread.mapInArrow(read, f"doc_id long, start long, n_tokens long, value {kind}")
+    return spread.mapInArrow(trimmed(read), f"doc_id long, start long, n_tokens long, value {kind}")
 
 
 def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, trimmed
 
 MAX_TRAIN = 20_000  #: labelled documents that train the model, the lowest by hash; the bound of its sample
 MAX_FEATURES = 4_096
@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
                 rows.append(([*found], xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)))
             yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.binary()))], ["grade", "id", "features"])
 
-    each = _sample(docs, labels, max_train).mapInArrow(featurize, "grade int, id long, features array<binary>")
+    each = _sample(docs, labels, max_train).mapInArrow(trimmed(featurize), "grade int, id long, features array<binary>")
     rows = materialize(each.groupBy("id").agg(F.max("grade").alias("grade"), F.first("features").alias("features")), "train")
     n = rows.count()
     if n > max_train:  # repeated ids with different texts
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
             hits = [sorted(column[f] for f in fs if f in column) for fs in batch.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("id"), pa.array(hits, pa.list_(pa.int32()))], ["grade", "id", "hits"])
 
-    data = sorted((r["id"], r["grade"], list(r["hits"])) for r in rows.mapInArrow(narrow, "grade int, id long, hits array<int>").collect())
+    data = sorted((r["id"], r["grade"], list(r["hits"])) for r in rows.mapInArrow(trimmed(narrow), "grade int, id long, hits array<int>").collect())
     hits, grades = [d[2] for d in data], np.array([d[1] for d in data])
     if grades.max() == 1:
         grades = spread_grades(hits, grades, len(chosen))
@@ -161,8 +161,8 @@ class Scorer:
                 found.update(fs)
         return found
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        hits = [self.hits(t) for t in texts]
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        hits = [self.hits(t.as_py()) for t in texts]  # one text at a time: a batch of long ones is large
         return np.array([sum(self.model.weights[f] for f in sorted(h)) for h in hits], float), [len(h) for h in hits]
 
 
@@ -180,12 +180,12 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, cut: float = CUT) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores, n = scorer.score(batch.column("text").to_pylist())
+            scores, n = scorer.score(batch.column("text"))
             p = model.probabilities(scores)
             exact = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.round(p.sum(1), 6)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(np.round(p[:, 0], 6)), pa.array(n, pa.int64()), pa.array(p[:, 0] >= cut)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, n_features long, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, severity double, grade int, p_toxic double, n_features long, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
@@ -196,7 +196,7 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFr
         scorer = Scorer(model)
         for batch in batches:
             if batch.num_rows:
-                p = model.probabilities(scorer.score(batch.column("text").to_pylist())[0])
+                p = model.probabilities(scorer.score(batch.column("text"))[0])
                 yield batch.filter(pa.array(p[:, 0] < cut))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
