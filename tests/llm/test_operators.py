@@ -339,6 +339,26 @@ def test_token_store(spark, tables, empty):
     assert token_store.token_digests(empty).count() == 0
 
 
+def test_token_store_of_many_shards(spark, monkeypatch):
+    """The plan doesn't grow with the number of shards; shards hold ascending ranges of doc_id, whatever ids there are."""
+    plans, wrote = [], token_store.materialize
+    monkeypatch.setattr(token_store, "materialize", lambda df, tag: plans.append(len(df._jdf.queryExecution().analyzed().toString())) or wrote(df, tag))
+    rows = [(None if i % 19 == 0 else 7 if i % 5 == 0 else i - 60, f"word {i} of a text") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = token_store.write_token_store(docs, scratch(spark, "test"), shard_docs=60).collect()
+    manifest = token_store.write_token_store(docs, scratch(spark, "test"), shard_docs=3)
+    many = manifest.collect()
+    assert len(few) <= 4 and len(many) > 30
+    assert plans[1] < 1.5 * plans[0]
+    shards = [token_store.ShardReader(r.path).index["doc_id"].tolist() for r in many]
+    assert [i for x in shards for i in x] == sorted(token_store.NULL_ID if i is None else i for i, _ in rows)
+    places = token_store._Places(*token_store._ranges([-3, 7, 7, 7, 9], 2))
+    assert places.shards == 9
+    ids = pa.array([None, None, -9, -3, -2, 6, 7, 7, 7, 8, 9, 10])
+    spread = pa.array([0, token_store._SPREAD - 1, 5, 5, 5, 5, 0, token_store._SPREAD // 2, token_store._SPREAD - 1, 5, 5, 5])
+    assert places.shard(ids, spread).tolist() == [0, 1, 2, 2, 3, 3, 4, 5, 6, 7, 7, 8]
+
+
 def test_finished_tasks_give_memory_back():
     resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
     above = []

@@ -328,6 +328,13 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     dictionary = train_dictionary(docs, tokenizer)
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
+    # Ranges come from doc_id alone: ranging the encoded rows would encode them twice.
+    rows, numbered = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    wanted = min(MAX_SHARDS, max(1, -(-numbered // shard_docs)))
+    met = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else []
+    cuts, parts = _ranges(met or [], -(-(rows - numbered) // shard_docs))
+    place = _Places(cuts, parts)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder.of(tokenizer), _compressor(dictionary)
         for batch in batches:
@@ -335,23 +342,13 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
             for found in encoder.encode(batch.column("text")):
                 raw = [x + tail for x in found]
                 ids, spread = (batch.column(k).slice(at, len(raw)) for k in ("doc_id", "spread"))
+                ids = ids.cast(pa.int64())
                 at += len(raw)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), spread, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["doc_id", "spread", "n", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(place.shard(ids, spread)), ids, spread, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([packer.compress(x) for x in raw], pa.binary())], ["shard", "doc_id", "spread", "n", "frame"])
 
-    # Ranges come from doc_id alone: ranging the encoded rows would encode them twice.
-    rows, numbered = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    wanted = min(MAX_SHARDS, max(1, -(-numbered // shard_docs)))
-    met = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else []
-    cuts, parts = _ranges(met or [], -(-(rows - numbered) // shard_docs))
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(parts)]).tolist()
-    shards = first[-1]
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _bisect(F.col("cuts"), F.col("doc_id"), len(cuts)))
-    bounds = F.broadcast(spark.createDataFrame([(cuts, parts, first)], "cuts array<long>, parts array<long>, first array<long>"))
     spread = F.pmod(F.xxhash64("text"), F.lit(_SPREAD))
-    frames = docs.withColumn("spread", spread).mapInArrow(trimmed(encode), "doc_id long, spread long, n long, frame binary")
-    ranged = frames.join(bounds).withColumn("range", at)
-    shard = F.get("first", "range") + F.floor(F.col("spread") * F.get("parts", "range") / _SPREAD)
-    placed = ranged.select(shard.alias("shard"), "doc_id", "spread", "n", "frame").repartition(max(1, min(shards, rows)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "spread", "frame")
+    frames = docs.withColumn("spread", spread).mapInArrow(trimmed(encode), "shard long, doc_id long, spread long, n long, frame binary")
+    placed = frames.repartition(max(1, min(place.shards, rows)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "spread", "frame")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(out)
@@ -389,15 +386,18 @@ def _ranges(met: list[int], null_parts: int) -> tuple[list[int], list[int]]:
     return cuts, [*parts, 1]
 
 
-def _bisect(cuts: F.Column, value: F.Column, n: int) -> F.Column:
-    """How many of the n sorted cuts are below ``value``; log2(n) steps of built-in expressions."""
-    low = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        probe = low + step
-        low = F.when((probe <= n) & (F.get(cuts, probe - 1) < value), probe).otherwise(low)
-        step >>= 1
-    return low
+class _Places:
+    """The shard of each row, from what ``_ranges`` gave. The plan is the same whatever the number of cuts."""
+
+    def __init__(self, cuts: list[int], parts: list[int]) -> None:
+        self.cuts, self.parts = np.array(cuts, np.int64), np.array(parts, np.int64)
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.parts)])
+        self.shards = int(self.first[-1])
+
+    def shard(self, ids: pa.Array, spread: pa.Array) -> np.ndarray:
+        at = np.searchsorted(self.cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
+        at[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return self.first[at] + spread.to_numpy(zero_copy_only=False) * self.parts[at] // _SPREAD
 
 
 class _ShardWriter:
