@@ -518,6 +518,39 @@ def test_lm_scores_look_up_what_may_grow(spark, tmp_path):
     assert max(asked) < len(docs.at) / 2  # own texts, and what the filters let through wrongly
 
 
+def test_lm_scores_ask_filters_of_many_blocks_at_once(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    text = lambda n: " ".join(f"w{k}" for k in rng.zipf(1.3, n) % 5_000)
+    paths, texts = [], [text(200) for _ in range(20)]
+    for k in range(lm_score.GROUP):
+        own = [*(text(300) for _ in range(3 * k)), " ".join(texts[k].split()[20:90])]
+        rows = pa.table({"doc_id": pa.array(range(100 * k, 100 * k + len(own)), pa.int64()), "text": own})
+        paths.append(lm_score._build(rows, f"file://{tmp_path}/block").column("path")[0].as_py())
+    blocks = [lm_score._Block(p) for p in paths]
+    assert len({len(b.filter(0)) for b in blocks}) > 2
+    group = lm_score._grouped(paths, f"file://{tmp_path}/group")
+    grouped, alone = (lm_score._Docs(list(range(1_000, 1_020)), pa.array(texts)) for _ in range(2))
+    for again in range(2):
+        [mask] = lm_score._survey([grouped], group)
+        looked = 0
+        for j, b in enumerate(blocks):
+            found = np.flatnonzero(mask & np.uint8(1 << j))
+            if again or not j:
+                assert found.tolist() == alone._may(b).tolist()
+            asked = grouped._may(b, found)
+            assert set(asked.tolist()) <= set(alone._may(b).tolist())
+            looked += len(asked)
+            grouped.match(b, found)
+            alone.match(b)
+            assert grouped.longest.tolist() == alone.longest.tolist()
+        assert not again or looked < len(grouped.at) / 4
+    for n in (0, 1, 1_023, 1_024, 1_025, 3_000):
+        values, h = rng.integers(0, 1 << 63, n).astype("u8"), [0]
+        for x in values.tolist():
+            h.append((h[-1] * lm_score._BASE + x) % (1 << 64))
+        assert lm_score._rolled(values).tolist() == h
+
+
 def test_lm_scores_with_few_long_references(spark):
     text = " ".join(f"w{k % 50}" for k in range(400))
     for n in (1, 10):
